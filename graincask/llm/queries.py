@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from graincask.llm import quality
+from graincask.llm import quality, secrets, sharding, warc
 
 QUERIES = {
+    "op2_warc_index": warc.op2,
     "op4_quality_rules": quality.op4,
+    "op5_vector_sharding": sharding.op5,
+    "op6_secret_scan": secrets.op6,
 }
 ORACLES = {
+    "op2_warc_index": warc.SQL_OP2,
     "op4_quality_rules": quality.SQL_OP4,
+    "op6_secret_scan": secrets.SQL_OP6,
 }
