@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from graincask.llm import quality, secrets, sharding, warc
+from graincask.llm import decontam, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op2_warc_index": warc.op2,
     "op4_quality_rules": quality.op4,
     "op5_vector_sharding": sharding.op5,
     "op6_secret_scan": secrets.op6,
+    "op9_fm_decontamination": decontam.op9,
+    "op10_substring_dedup": substrings.op10,
 }
 ORACLES = {
     "op2_warc_index": warc.SQL_OP2,
     "op4_quality_rules": quality.SQL_OP4,
     "op6_secret_scan": secrets.SQL_OP6,
+    "op9_fm_decontamination": decontam.SQL_OP9,
+    "op10_substring_dedup": substrings.SQL_OP10,
 }
