@@ -100,3 +100,33 @@ def first_in_batch(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.R
         if b.num_rows:
             keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
             yield b.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+
+
+def ask_shared(hashes: np.ndarray, owners: np.ndarray, labels: np.ndarray, spots: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows that ask which hashes another owner has too. What the batch knows itself is sent as known, with one entry of label -1 to tell the others."""
+    if not len(hashes):
+        return
+    order = np.argsort(hashes, kind="stable")
+    o, at = owners[order], runs(hashes[order])
+    several = np.minimum.reduceat(o, at[:-1]) != np.maximum.reduceat(o, at[:-1])
+    many = np.zeros(len(hashes), bool)
+    many[order] = np.repeat(several, np.diff(at))
+    b = bucket_of(hashes, n)
+    if many.any():
+        yield packed(b[many], owners[many], labels[many], hashes[many], spots[many], known=True)
+        told = order[at[:-1][several]]
+        yield packed(b[told], owners[told], np.full(len(told), -1), hashes[told], spots[told])
+    if not many.all():
+        yield packed(b[~many], owners[~many], labels[~many], hashes[~many], spots[~many])
+
+
+def shared(keys: np.ndarray, labels: np.ndarray, hashes: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """For answer(): the entries whose hash has another owner."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes):
+        order = np.lexsort((keys, hashes))
+        k, at = keys[order], runs(hashes[order])
+        several = (k[at[:-1]] != k[at[1:] - 1]) | (np.minimum.reduceat(labels[order], at[:-1]) < 0)
+        out[order] = np.repeat(several, np.diff(at))
+        out &= labels >= 0  # an entry that stands for known ones has its answer
+    return out

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graincask.llm import decontam, quality, secrets, sharding, substrings, warc
+from graincask.llm import decontam, ngramjoin, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op2_warc_index": warc.op2,
     "op4_quality_rules": quality.op4,
     "op5_vector_sharding": sharding.op5,
     "op6_secret_scan": secrets.op6,
+    "op7_ngram_join": ngramjoin.op7,
     "op9_fm_decontamination": decontam.op9,
     "op10_substring_dedup": substrings.op10,
 }
@@ -16,6 +17,7 @@ ORACLES = {
     "op2_warc_index": warc.SQL_OP2,
     "op4_quality_rules": quality.SQL_OP4,
     "op6_secret_scan": secrets.SQL_OP6,
+    "op7_ngram_join": ngramjoin.SQL_OP7,
     "op9_fm_decontamination": decontam.SQL_OP9,
     "op10_substring_dedup": substrings.SQL_OP10,
 }

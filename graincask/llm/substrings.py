@@ -56,35 +56,9 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
                 ok = ok[in_cover[place[ok] % PERIOD]]
                 parts.append((split.windows(hashes, ANCHOR)[ok], np.repeat(keys[first:end], lengths)[ok], place[ok].astype(np.uint32)))
             hashes, owners, spots = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(hashes):
-                continue
-            order = np.argsort(hashes, kind="stable")
-            h, o = hashes[order], owners[order]
-            at = X.runs(h)
-            low, high = np.minimum.reduceat(o, at[:-1]), np.maximum.reduceat(o, at[:-1])
-            many = np.zeros(len(h), bool)
-            many[order] = np.repeat(low != high, np.diff(at))
-            zero = np.zeros(len(hashes), np.int64)
-            b = X.bucket_of(hashes, n)
-            if many.any():  # known here; the others are told by one entry, which stands for two texts
-                yield X.packed(b[many], owners[many], zero[many], hashes[many], spots[many], known=True)
-                told = order[at[:-1][low != high]]
-                yield X.packed(b[told], owners[told], zero[told] + 1, hashes[told], spots[told])
-            if not many.all():
-                yield X.packed(b[~many], owners[~many], zero[~many], hashes[~many], spots[~many])
-
-    def shared(keys, labels, hashes, spots):
-        order = np.lexsort((keys, hashes))
-        at = X.runs(hashes[order])
-        out = np.zeros(len(hashes), bool)
-        if len(hashes):
-            k = keys[order]
-            several = (k[at[:-1]] != k[at[1:] - 1]) | (np.maximum.reduceat(labels[order], at[:-1]) > 0)
-            out[order] = np.repeat(several, np.diff(at))
-            out &= labels == 0  # an entry that stands for known ones has its answer
-        return out
+            yield from X.ask_shared(hashes, owners, np.zeros(len(hashes), np.int64), spots, n)
 
-    return X.answer(keyed.select("key", "text").mapInArrow(ask, X.ROWS), shared).withColumn("label", F.lit(0).cast("long"))
+    return X.answer(keyed.select("key", "text").mapInArrow(ask, X.ROWS), X.shared)
 
 
 def repeated_windows(candidates: DataFrame) -> DataFrame:
