@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from graincask.llm import decontam, ngramjoin, quality, secrets, sharding, substrings, warc
+from graincask.llm import decontam, ngramjoin, packing, quality, secrets, sharding, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_retrieval_packing": packing.op1,
     "op2_warc_index": warc.op2,
     "op4_quality_rules": quality.op4,
     "op5_vector_sharding": sharding.op5,
     "op6_secret_scan": secrets.op6,
     "op7_ngram_join": ngramjoin.op7,
+    "op8_pu_toxicity": toxicity.op8,
     "op9_fm_decontamination": decontam.op9,
     "op10_substring_dedup": substrings.op10,
 }
