@@ -54,3 +54,17 @@ def words_of(text: Column) -> Column:
 def n_tasks(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Keys up to which a filter by keys is sent to all tasks (8 bytes each).
+BROADCAST_KEYS = 1_000_000
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether so few rows that a long key each may be broadcast. keys should be settled."""
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
+def within(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows that may have a key among keys, so that a join that follows moves no others. With too many keys to broadcast: all rows."""
+    return df.join(F.broadcast(keys.select(on)), on, "left_semi") if few(keys) else df

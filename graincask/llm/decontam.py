@@ -294,6 +294,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **o
     return done.select(*[(F.col("__new") if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the benchmark's passages."""
+    done = remove(docs.withColumn("__old", F.xxhash64("text")), table(spark, sf_dir, "benchmark"))
+    changed = F.when(F.xxhash64("text") != F.col("__old"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", changed).select(*docs.columns)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x).cast("long")

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincask.llm import exchange as X
-from graincask.llm.common import n_tasks, settle, table
+from graincask.llm.common import few, n_tasks, settle, table
 from graincask.llm.components import components
 from graincask.llm.words import WHITESPACE, Splitter, chunks, mix, valid_windows
 
@@ -65,10 +65,14 @@ def text_sets(split: Splitter, data: np.ndarray, offsets: np.ndarray, shingle: i
     return h[first], o[first]
 
 
+def _label(ids: Column, text: Column) -> Column:
+    """The id, or for null a number above all ids that depends on the text."""
+    return F.coalesce(ids.cast("long"), F.lit(NULLS + 1) + F.pmod(F.xxhash64(text), F.lit((1 << 40) - 1)))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    label = F.coalesce(F.col(id_col).cast("long"), F.lit(NULLS + 1) + F.pmod(F.xxhash64(text), F.lit((1 << 40) - 1)))
-    return docs.select(label.alias("label"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    return docs.select(_label(F.col(id_col), text).alias("label"), F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
 def measured(keyed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -339,13 +343,13 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """label, row_key, n (shingles), component (a label) of every document; see _keyed for labels."""
     keyed = _keyed(docs, id_col, text_col)
     rows = settle(measured(keyed, shingle))
     classes = rows.filter("n > 0").groupBy("key", "key2").agg(F.min(F.struct("label", "row_key")).alias("rep"))
     near = likely(keyed, percent, shingle).withColumnRenamed("key", "set_key")
-    reps = classes.join(near, classes["key"] == near["set_key"], "left_semi").select("rep.label", "rep.row_key")
+    reps = (classes.join(near, classes["key"] == near["set_key"], "left_semi").select("rep.label", "rep.row_key"))
     sets = settle(sets_of(keyed.join(reps, ["label", "row_key"]), shingle))
     rank = settle(ranked(sets, percent))
     star = settle(verified(candidates(rank.withColumn("grp", F.col("label")), percent), rank, percent))
@@ -354,12 +358,34 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     more = settle(verified(candidates(grouped, percent, across=True), rank, percent))
     final = components(first.union(more)) if more.limit(1).count() else first
     # a set without elements has a key of its own: no hot key, no match
-    mine = rows.select("label", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("label", "row_key")).alias("key"), F.when(F.col("n") > 0, F.col("key2")).otherwise(F.col("label")).alias("key2"))
+    mine = rows.select("label", "row_key", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("label", "row_key")).alias("key"), F.when(F.col("n") > 0, F.col("key2")).otherwise(F.col("label")).alias("key2"))
     smallest = classes.select("key", "key2", F.col("rep.label").alias("rep"))
-    placed = smallest.join(final.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left").select("key", "key2", F.coalesce("c", "rep").alias("component"))
-    out = mine.join(placed, ["key", "key2"], "left").select("label", "n", F.coalesce("component", "label").alias("component"))
+    at = smallest.join(final.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left").select("key", "key2", F.coalesce("c", "rep").alias("component"))
+    return mine.join(at, ["key", "key2"], "left").select("label", "row_key", "n", F.coalesce("component", "label").alias("component"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
     real = lambda c: F.when(F.col(c) <= NULLS, F.col(c))
-    return out.select(real("label").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    return placed(docs, id_col=id_col, text_col=text_col, percent=percent, shingle=shingle).select(real("label").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the one with the smallest id (of several with that id, one); all that are linked with nothing, empty ones too."""
+    at = settle(placed(docs, id_col=id_col, text_col=text_col, percent=percent).filter("label = component"))
+    one = at.filter("n > 0").groupBy("label").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("rows"))
+    keep = settle(one.select("label", "row_key", (F.col("rows") > 1).alias("repeated")).union(at.filter("n = 0").select("label", "row_key", F.lit(False)).distinct()))
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
+    text = F.coalesce(F.col("__t"), F.lit(""))
+    whole = whole.select("__row", _label(F.col("__i"), text).alias("label"), F.xxhash64(text).alias("row_key"))
+    kept = whole.join(F.broadcast(keep) if few(keep) else keep, ["label", "row_key"])
+    if keep.filter("repeated").limit(1).count():
+        kept = kept.filter("NOT repeated").unionByName(kept.filter("repeated").dropDuplicates(["label", "row_key"]))
+    return kept.select("__row.*")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return distinct_documents(docs)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
