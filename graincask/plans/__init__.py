@@ -1,3 +1,3 @@
 """Queries of the engine; importing this package registers them."""
 
-from graincask.plans import agents, curation, reports, retrieval  # noqa: F401
+from graincask.plans import agents, curation, reports, retrieval, streams  # noqa: F401
