@@ -39,16 +39,16 @@ def localize(files: DataFrame, queries: DataFrame, *, top_k: int | None = TOP_K,
     stats = analysed.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))
     terms = asked.select("term").distinct()
     tf = (
-        analysed.select("path", "dl", "defs", F.explode("toks").alias("term")).join(terms, "term", "left_semi")
-        .groupBy("path", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("defs").alias("defs"))
+        analysed.select("path", "dl", F.explode("toks").alias("term")).join(terms, "term", "left_semi")
+        .groupBy("path", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = (
         tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
-        .groupBy("query_id", "path").agg(F.sum(part).alias("base"), F.first("defs").alias("defs"))
-        .join(named, "query_id")
+        .groupBy("query_id", "path").agg(F.sum(part).alias("base"))
+        .join(analysed.select("path", "defs"), "path").join(named, "query_id")
     )
     hits = F.array_intersect("defs", "named")
     score = F.col("base") * (1 + 0.5 * F.size(hits)) if boost else F.col("base")
