@@ -13,9 +13,11 @@ Sequence ids are unique, not consecutive. The tokens are settled first, so a los
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ WINDOW, END = 2048, 1
 #: Documents of a shard of the index, terms of a query, BM25's two parameters.
 SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 12, 1.2, 0.75
 #: Ids of words that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 SLOTS = 1 << 16
 
 
@@ -40,35 +42,90 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered:
+    """A table of bounded size that forgets what wasn't asked for lately: two halves, of which the older goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+#: Bytes as the characters that a byte-level vocabulary writes for them.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: b for b in _PLAIN} | {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _PLAIN)}
+#: Latin letters below U+0180 but the dotted capital I, whose lower case is two characters.
+_SIMPLE = re.compile("[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+").fullmatch
+
+
 class WordTokenizer:
-    """Token ids of texts by way of their white-space separated words; the words' ids are remembered within a bound."""
+    """Token ids of texts by way of their white-space separated words; the words' ids are remembered within a bound.
+
+    ASCII punctuation that follows a Latin letter or a digit is a word of its own, for the tokenizer cuts there too. A word of Latin letters below U+0180
+    is lower-cased and goes to the model alone; all else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         store = sys.modules.setdefault("_graincask_remembered", types.ModuleType("_graincask_remembered"))  # outlives the task in its worker
         if getattr(store, "path", None) != path:
-            store.path, store.known, store.tokenizer = path, {}, Tokenizer.from_file(path)
-        self.store, self.split = store, Splitter(WHITESPACE, lower=True)
+            store.path, store.known, store.tokenizer = path, Remembered(REMEMBERED), Tokenizer.from_file(path)
+        self.store, self.split, self.exact = store, Splitter(WHITESPACE, lower=True), Splitter(WHITESPACE)
+        self.whole, self.model = store.tokenizer.encode, store.tokenizer.model.tokenize
+        self.mark, self.plain = np.zeros(256, bool), np.zeros(256, bool)
+        self.mark[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+        self.plain[[b for b in range(0x80) if chr(b).isalnum()]] = True
+
+    def ids_of(self, word: str) -> bytes:
+        if not _SIMPLE(word):
+            return np.array(self.whole(word, add_special_tokens=False).ids, np.uint16).tobytes()
+        word = word.lower()
+        return array("H", [t.id for t in self.model(word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+
+    def _letters_end(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where each word's trailing punctuation begins, if it follows a Latin letter or a digit; else the word's end."""
+        at, going = ends.copy(), np.arange(len(ends))
+        while len(going):
+            going = going[(at[going] > starts[going]) & self.mark[data[at[going] - 1]]]
+            at[going] -= 1
+        last, before = data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)]
+        two = (at - starts >= 2) & (last >= 0x80) & (last < 0xC0) & ((before == 0xC4) | (before == 0xC5) | (before == 0xC3) & (last != 0x97) & (last != 0xB7))
+        special = (ends - at >= 2) & (data[np.minimum(at, len(data) - 1)] == ord("|")) & (data[np.minimum(at + 1, len(data) - 1)] == ord(">"))  # may end a special token
+        return np.where((at > starts) & (self.plain[last] | two) & ~special, at, ends)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint16) of all texts of a chunk, each followed by the end token, and the offsets of the texts in them."""
-        starts, ends, hashes, firsts = self.split.words(data, offsets)
+        # special tokens, which differ by case, begin with <|
+        split = self.exact if ((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any() else self.split
+        starts, ends, _, firsts = split.words(data, offsets, hashed=False)
         lengths, flat = np.zeros(len(starts), np.int64), np.empty(0, np.uint16)
         begin = lengths
         if len(starts):
-            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            known = self.store.known
-            names = unique.tolist()
-            fresh = [i for i, h in enumerate(names) if h not in known]
-            if fresh:
-                raw, at = data.tobytes(), first[fresh]
-                words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                if len(known) + len(fresh) > REMEMBERED:
-                    known = self.store.known = {h: known[h] for h in names if h in known}
-                for i, e in zip(fresh, self.store.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                    known[names[i]] = np.array(e.ids, np.uint16).tobytes()
-            parts = [known[h] for h in names]
+            letters = self._letters_end(data, starts, ends)
+            cut = letters < ends
+            order = np.argsort(np.concatenate((starts, letters[cut])), kind="stable")
+            ends = np.concatenate((letters, ends[cut]))[order]
+            starts = np.concatenate((starts, letters[cut]))[order]
+            firsts = np.searchsorted(starts, offsets)
+            unique, first, inverse = np.unique(split.hashes(data, starts), return_index=True, return_inverse=True)
+            known, raw, parts = self.store.known, None, []
+            for h, s, e in zip(unique.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+                ids = known.young.get(h)
+                if ids is None and (ids := known.get(h)) is None:
+                    raw = data.tobytes() if raw is None else raw
+                    ids = self.ids_of(raw[s:e].decode("utf-8", "replace"))
+                    known.put(h, ids)
+                parts.append(ids)
             flat = np.frombuffer(b"".join(parts), np.uint16)
             size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
             place = np.cumsum(size) - size
@@ -92,7 +149,7 @@ def tokenized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer(path)
         for batch in batches:
-            for first, end, data, offsets in chunks(batch, "text", 1 << 19):
+            for first, end, data, offsets in chunks(batch, "text", 1 << 20):
                 ids, at = coder.encode(data, offsets)
                 blob = pa.Array.from_buffers(pa.binary(), end - first, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), blob], names=["doc_id", "ids"])

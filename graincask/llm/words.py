@@ -6,6 +6,7 @@ a window's hash is the same construction over word hashes. Cost: a few vectorise
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,16 +76,17 @@ class Splitter:
         cut[edge[edge > 0] - 1] = False
         ends = np.flatnonzero(inside & ~cut) + 1
         firsts = np.searchsorted(starts, offsets)
-        if not hashed:
-            return starts, ends, np.empty(0, U), firsts
+        return starts, ends, self.hashes(data, starts) if hashed else np.empty(0, U), firsts
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the words that start at given bytes and end at the next separator or start."""
         if not len(starts):
-            return starts, ends, np.empty(0, U), firsts
+            return np.empty(0, U)
         self.powers.grow(len(data) + 1)
         values = self.value[data]
         values *= self.powers.up[: len(data)]
         # separators are 0, so a word's sum may run on to the next word
-        sums = np.add.reduceat(values, starts)
-        return starts, ends, mix(sums * self.powers.down[starts]), firsts
+        return mix(np.add.reduceat(values, starts) * self.powers.down[starts])
 
     def windows(self, hashes: np.ndarray, size: int) -> np.ndarray:
         """Hash of the window of so many words that starts at each word; the last size - 1 are left out. Texts aren't told apart."""
@@ -125,6 +127,15 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: idle Python workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about so many bytes of text: first row, row after the last, bytes, offsets from 0."""
     data, offsets = string_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -133,6 +144,7 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[tu
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    trim()
 
 
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
