@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a couple of MB of documents. Words that no benchmark item has can't be in an occurrence, so a shard's index holds the runs
+A shard is about a MB of documents. Words that no benchmark item has can't be in an occurrence, so a shard's index holds the runs
 of the other words, each ended by a separator of its own. All windows of all items are searched backwards at once through the ranks of a wavelet matrix over
 the Burrows-Wheeler transform; occurrences are located by walking to sampled suffix positions, and their spans merge per document.
 
@@ -27,7 +27,7 @@ from graincask.llm.common import table
 from graincask.llm.words import NOT_ALNUM, Splitter, chunks, string_bytes
 
 WINDOW = 10
-SHARD_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 #: Every so many positions of a shard a suffix position is kept.
 SAMPLE = 16
 
@@ -190,34 +190,35 @@ class Patterns:
 FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
+def _found(own: Patterns, split: Splitter, batch: pa.RecordBatch, column: str) -> tuple[list[int], list[list[int]], list[list[int]], list[list[str]]]:
+    """Of each row: words, starts and ends of the merged spans of hit words, and sorted items."""
+    counts, starts, ends, found = [], [], [], []
+    for first, end, data, offsets in chunks(batch, column, SHARD_BYTES):
+        _, _, hashes, firsts = split.words(data, offsets)
+        cover = np.zeros(len(hashes) + 1, np.int32)
+        of: dict[int, set[str]] = defaultdict(set)
+        for which, at, size, items in own.occurrences(hashes, firsts):
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + size, -1)
+            docs = np.searchsorted(firsts, at, "right") - 1
+            for d, w in np.unique(np.stack((docs, which), 1), axis=0).tolist():
+                of[d].update(items[w])
+        hit = np.cumsum(cover[:-1]) > 0
+        for i in range(end - first):
+            a, b = int(firsts[i]), int(firsts[i + 1])
+            counts.append(b - a)
+            flags = np.diff(hit[a:b].astype(np.int8), prepend=0, append=0) if i in of else np.empty(0)
+            starts.append(np.flatnonzero(flags == 1).tolist())
+            ends.append(np.flatnonzero(flags == -1).tolist())
+            found.append(sorted(of[i]) if i in of else [])
+    return counts, starts, ends, found
+
+
 def _search(patterns, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, own = Splitter(NOT_ALNUM, lower=True), Patterns.of(patterns.value)
         for batch in batches:
-            counts, starts, ends, found = [], [], [], []
-            for first, end, data, offsets in chunks(batch, "__text", SHARD_BYTES):
-                _, _, hashes, firsts = split.words(data, offsets)
-                cover = np.zeros(len(hashes) + 1, np.int32)
-                of: dict[int, set[str]] = defaultdict(set)
-                for which, at, size, items in own.occurrences(hashes, firsts):
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + size, -1)
-                    docs = np.searchsorted(firsts, at, "right") - 1
-                    for d, w in np.unique(np.stack((docs, which), 1), axis=0).tolist():
-                        of[d].update(items[w])
-                hit = np.cumsum(cover[:-1]) > 0
-                for i in range(end - first):
-                    a, b = int(firsts[i]), int(firsts[i + 1])
-                    counts.append(b - a)
-                    if i in of:
-                        flags = np.diff(hit[a:b].astype(np.int8), prepend=0, append=0)
-                        starts.append(np.flatnonzero(flags == 1).tolist())
-                        ends.append(np.flatnonzero(flags == -1).tolist())
-                        found.append(sorted(of[i]))
-                    else:
-                        starts.append([])
-                        ends.append([])
-                        found.append([])
+            counts, starts, ends, found = _found(own, split, batch, "__text")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
                 names=[*kept, "n_words", "starts", "ends", "items"])
@@ -225,12 +226,26 @@ def _search(patterns, kept: list[str]):
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _without(split: Splitter, text: str, starts: list[int], ends: list[int]) -> tuple[str, bool]:
+    """A text without spans of words, a line break for each, and whether a word is left."""
+    raw = text.encode("utf-8", "surrogatepass")
+    w_start, w_end, _, _ = split.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), hashed=False)
+    parts, at, left = [], 0, len(w_start)
+    for a, b in zip(starts, ends, strict=True):
+        parts.append(raw[at : w_start[a]])
+        at, left = w_end[b - 1], left - (b - a)
+    return b"\n".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass"), left > 0
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, count_only: bool = False) -> Iterator[list[tuple[str, str | None]]]:
     """Items in blocks of about so many bytes, one block at a time on the driver."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = -(-size // block_bytes) or 1
     for k in range(n):
+        if count_only:
+            yield []
+            continue
         block = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r["i"], r["t"]) for r in block.collect()]
 
@@ -268,30 +283,44 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **o
 
     A document without a hit keeps its text to the byte, empty or null ones too.
     """
+    columns, at = docs.columns, docs.columns.index(text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def replaced(split: Splitter, batch: pa.RecordBatch, texts: pa.Array, starts: list, ends: list) -> pa.RecordBatch:
+        rows = [i for i, x in enumerate(starts) if x]
+        out, keep = (texts.to_pylist(), np.ones(len(texts), bool)) if rows else (None, None)
+        for i in rows:
+            out[i], keep[i] = _without(split, out[i], starts[i], ends[i])
+        arrays = [pa.array(out, pa.string()) if k == at and rows else batch.column(batch.schema.get_field_index(c)) for k, c in enumerate(columns)]
+        new = pa.RecordBatch.from_arrays(arrays, names=columns)
+        return new.filter(pa.array(keep)) if rows else new
+
+    options = {k: v for k, v in options.items() if v is not None}
+    blocks = list(_blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_bytes", BLOCK_BYTES), count_only=True))
+    if len(blocks) == 1:  # one pass: found and cut in one go
+        items = next(_blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_bytes", BLOCK_BYTES)))
+        patterns = docs.sparkSession.sparkContext.broadcast(Patterns(items, options.get("window", WINDOW)).plain())
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            split, own = Splitter(NOT_ALNUM, lower=True), Patterns.of(patterns.value)
+            for whole in batches:
+                for s in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(s, 2000)
+                    _, starts, ends, _ = _found(own, split, batch, text_col)
+                    yield replaced(split, batch, batch.column(at), starts, ends)
+
+        return docs.mapInArrow(once, schema)
+    # several passes: the row travels as one column, so that its columns may have any names
     whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
-    found = search(whole.withColumn("__keep", F.col("__t")), benchmark, keep=("__row", "__keep"), text_col="__t", **options)
+    found = search(whole, benchmark, keep=("__row",), text_col="__t", **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(NOT_ALNUM, lower=True)
         for batch in batches:
-            texts, starts, ends = (batch.column(batch.schema.get_field_index(c)) for c in ("__keep", "starts", "ends"))
-            out, gone = texts.to_pylist(), np.zeros(batch.num_rows, bool)
-            for i in np.flatnonzero(pa.compute.list_value_length(starts).to_numpy(zero_copy_only=False) > 0).tolist():
-                raw = out[i].encode("utf-8", "surrogatepass")
-                w_start, w_end, _, _ = split.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), hashed=False)
-                parts, at, left = [], 0, len(w_start)
-                for a, b in zip(starts[i].as_py(), ends[i].as_py(), strict=True):
-                    parts.append(raw[at : w_start[a]])
-                    at, left = w_end[b - 1], left - (b - a)
-                out[i], gone[i] = b"\n".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass"), left == 0
-            keep = np.flatnonzero(~gone)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__row")), pa.array(out, pa.string())], names=["__row", "__new"]).take(pa.array(keep))
-
-    import pyarrow.compute  # noqa: F401
-
-    row = whole.schema["__row"].dataType.simpleString()
-    done = found.select("__row", "__keep", "starts", "ends").mapInArrow(cut, f"`__row` {row}, `__new` string")
-    return done.select(*[(F.col("__new") if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+            starts, ends = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__starts", "__ends"))
+            yield replaced(split, batch, batch.column(at), starts, ends)
+
+    return found.select("__row.*", F.col("starts").alias("__starts"), F.col("ends").alias("__ends")).mapInArrow(cut, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
