@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincask.llm.common import settle, table
-from graincask.llm.words import WHITESPACE, Splitter, chunks, string_bytes
+from graincask.llm.words import WHITESPACE, Splitter, chunks, string_bytes, trim
 
 WINDOW, END = 2048, 1
 #: Documents of a shard of the index, terms of a query, BM25's two parameters.
-SHARD_DOCS, QUERY_TERMS, K1, B = 4096, 12, 1.2, 0.75
+SHARD_DOCS, QUERY_TERMS, K1, B = 1024, 12, 1.2, 0.75
 #: Ids of words that a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 SLOTS = 1 << 16
 
 
@@ -328,6 +328,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
                 one = whole()
                 out, sequence = shard(one.column(0).slice(0, SHARD_DOCS), one.column(1).slice(0, SHARD_DOCS), sequence)
                 yield out
+                trim()
                 waiting, rows = ([one.slice(SHARD_DOCS)], rows - SHARD_DOCS) if rows > SHARD_DOCS else ([], 0)
         if rows:
             one = whole()
