@@ -1,7 +1,8 @@
 """Packed exchanges: hashes of many texts go to buckets as a few binary columns per batch instead of a row each.
 
-A batch that holds a hash more than once settles what it can by itself and sends one entry, so that a hash that occurs in one third of all
-texts costs a bucket one entry per batch, not one per text.
+An entry is a hash, the text's number within its batch and a place; who the text is stays in one table per batch, which the answers meet again. An entry's size so
+doesn't depend on the number of buckets. A batch that holds a hash more than once settles what it can by itself and sends one entry, so that a hash
+that occurs in one third of all texts costs a bucket one entry per batch, not one per text.
 """
 
 from __future__ import annotations
@@ -11,13 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graincask.llm.common import n_tasks
+from graincask.llm.words import trim
 
-ROWS = "bucket int, known boolean, keys binary, labels binary, counts binary, hashes binary, spots binary"
-_ROWS = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("labels", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("spots", pa.binary())])
+#: Kinds of rows: entries that ask, entries whose answer is known, and a batch's table of keys (marks) and labels (hashes).
+ASK, KNOWN, TABLE = 0, 1, 2
+ROWS = "bucket int, batch long, kind int, ordinals binary, marks binary, hashes binary, spots binary"
+_ROWS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("ordinals", pa.binary()), ("marks", pa.binary()), ("hashes", pa.binary()), ("spots", pa.binary())])
 REPLIES = "key long, label long, spots binary"
-_REPLIES = pa.schema([("key", pa.int64()), ("label", pa.int64()), ("spots", pa.binary())])
+#: Rows of a batch at most, and the number that stands for texts whose answer is known.
+BATCH_ROWS, TOLD = 32_768, 65_535
 
 
 def n_buckets(df: DataFrame) -> int:
@@ -40,93 +46,119 @@ def runs(*arrays: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
 
 
-def packed(buckets: np.ndarray, keys: np.ndarray, labels: np.ndarray, hashes: np.ndarray, spots: np.ndarray, known: bool = False) -> pa.RecordBatch:
-    """One row per bucket; entries of a bucket are run-length coded by (key, label). spots: uint32."""
-    order = np.argsort(buckets, kind="stable")
-    buckets, keys, labels, hashes, spots = (a[order] for a in (buckets, keys, labels, hashes, spots))
-    at = runs(buckets)
-    cols: dict[str, list] = {c: [] for c in _ROWS.names}
-    for s, e in zip(at[:-1], at[1:], strict=True):
-        k, la = keys[s:e], labels[s:e]
-        r = runs(k, la)
-        cols["bucket"].append(int(buckets[s]))
-        cols["known"].append(known)
-        cols["keys"].append(k[r[:-1]].tobytes())
-        cols["labels"].append(la[r[:-1]].tobytes())
-        cols["counts"].append(np.diff(r).astype(np.uint32).tobytes())
-        cols["hashes"].append(hashes[s:e].tobytes())
-        cols["spots"].append(spots[s:e].astype(np.uint32).tobytes())
-    return pa.RecordBatch.from_pydict(cols, _ROWS)
+def number(batch: pa.RecordBatch, first: int) -> int:
+    """A number for a batch, from its first key and the task that reads it."""
+    from pyspark import TaskContext
 
+    return (hash((TaskContext.get().partitionId(), batch.num_rows, first)) & ((1 << 63) - 1)) if TaskContext.get() else first
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """keys, labels, hashes, spots of all entries."""
 
-    def whole(name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-    counts = whole("counts", np.uint32)
-    return np.repeat(whole("keys", np.int64), counts), np.repeat(whole("labels", np.int64), counts), whole("hashes", np.uint64), whole("spots", np.uint32)
-
-
-def replies(keys: np.ndarray, labels: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
-    """One row per (key, label)."""
-    order = np.lexsort((labels, keys))
-    keys, labels, spots = keys[order], labels[order], spots[order].astype(np.uint32)
-    at = runs(keys, labels)
-    data = pa.array([spots[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(keys[at[:-1]], pa.int64()), pa.array(labels[at[:-1]], pa.int64()), data], schema=_REPLIES)
-
-
-def answer(rows: DataFrame, reduce) -> DataFrame:
-    """Groups packed rows by bucket; reduce(keys, labels, hashes, spots) -> mask of the entries to reply to. Known rows are replied to as they are."""
-
-    def of(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
+def batches_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches with a number each, of each key in a batch one row, and no longer than BATCH_ROWS."""
+    k = 0
+    for b in batches:
+        for s in range(0, b.num_rows, BATCH_ROWS):
+            part = b.slice(s, BATCH_ROWS)
+            keys = part.column(part.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            yield number(part, int(keys[0]) + k), part.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+            k += 1
 
-        known = table.filter(table.column("known"))
-        asked = table.filter(pc.invert(table.column("known")))
-        k, la, _, s = unpacked(known)
-        keys, labels, hashes, spots = unpacked(asked)
-        hit = reduce(keys, labels, hashes, spots)
-        return pa.Table.from_batches([replies(np.concatenate((k, keys[hit])), np.concatenate((la, labels[hit])), np.concatenate((s, spots[hit])))])
 
-    return rows.groupBy("bucket").applyInArrow(of, REPLIES)
+def table_row(n: int, batch: int, keys: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": [batch % n], "batch": [batch], "kind": [TABLE], "ordinals": [b""], "marks": [keys.astype(np.int64).tobytes()], "hashes": [labels.astype(np.int64).tobytes()], "spots": [b""]}, _ROWS)
 
 
-def first_in_batch(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """The batches, of each key in a batch one row."""
-    for b in batches:
-        if b.num_rows:
-            keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            yield b.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+def known_row(n: int, batch: int, ordinals: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": [batch % n], "batch": [batch], "kind": [KNOWN], "ordinals": [ordinals.astype(np.uint16).tobytes()], "marks": [b""], "hashes": [b""], "spots": [spots.astype(np.uint32).tobytes()]}, _ROWS)
 
 
-def ask_shared(hashes: np.ndarray, owners: np.ndarray, labels: np.ndarray, spots: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows that ask which hashes another owner has too. What the batch knows itself is sent as known, with one entry of label -1 to tell the others."""
+def ask_rows(n: int, batch: int, hashes: np.ndarray, ordinals: np.ndarray, spots: np.ndarray, marks: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket. marks: a number per entry that the bucket needs."""
+    b = bucket_of(hashes, n)
+    order = np.argsort(b, kind="stable")
+    at = runs(b[order])
+    cut = lambda a: pa.array([a[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    rows = len(at) - 1
+    blank = pa.array([b""] * rows, pa.binary())
+    return pa.RecordBatch.from_arrays([
+        pa.array(b[order][at[:-1]], pa.int32()), pa.array(np.full(rows, batch)), pa.array(np.full(rows, ASK, np.int32)), cut(ordinals.astype(np.uint16)[order]),
+        blank if marks is None else cut(marks.astype(np.int64)[order]), cut(hashes[order]), cut(spots.astype(np.uint32)[order])], schema=_ROWS)
+
+
+class Entries:
+    """Entries of a bucket: batch, ordinal, hash, spot and, where sent, mark of each."""
+
+    def __init__(self, table: pa.Table):
+        whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        self.ordinals, self.hashes, self.spots, self.marks = whole("ordinals", np.uint16), whole("hashes", np.uint64), whole("spots", np.uint32), whole("marks", np.int64)
+        sizes = np.array([len(x) // 2 for x in table.column("ordinals").to_pylist()], np.int64)
+        self.batches = np.repeat(table.column("batch").to_numpy(), sizes) if len(sizes) else np.empty(0, np.int64)
+
+
+def answer(rows: DataFrame, reduce, n: int) -> DataFrame:
+    """key, label, spots (packed): the entries for which reduce(Entries) gives True, and the known ones, by text. A text may have several rows if several batches hold it."""
+
+    def of(t: pa.Table) -> pa.Table:
+        kind = t.column("kind").to_numpy()
+        passed = t.take(pa.array(np.flatnonzero(kind != ASK)))
+        e = Entries(t.take(pa.array(np.flatnonzero(kind == ASK))))
+        hit = reduce(e)
+        order = np.argsort(e.batches[hit], kind="stable")
+        b, o, s = e.batches[hit][order], e.ordinals[hit][order], e.spots[hit][order]
+        out = [pa.Table.from_batches([known_row(n, int(b[x]), o[x:y], s[x:y])]) for x, y in zip(runs(b)[:-1], runs(b)[1:], strict=True)]
+        done = pa.concat_tables([passed.cast(_ROWS), *out])
+        del e, t, passed, out
+        trim()
+        return done
+
+    def by_text(t: pa.Table) -> pa.Table:
+        kinds, batches = t.column("kind").to_numpy(), t.column("batch").to_numpy()
+        cols: tuple[list, list, list] = ([], [], [])
+        for batch in np.unique(batches[kinds == TABLE]):
+            mine = batches == batch
+            tables = t.take(pa.array(np.flatnonzero(mine & (kinds == TABLE))[:1]))
+            keys, labels = (np.frombuffer(tables.column(c)[0].as_py(), np.int64) for c in ("marks", "hashes"))
+            told = t.take(pa.array(np.flatnonzero(mine & (kinds == KNOWN))))
+            ordinals = np.frombuffer(b"".join(told.column("ordinals").to_pylist()), np.uint16)
+            spots = np.frombuffer(b"".join(told.column("spots").to_pylist()), np.uint32)
+            order = np.argsort(ordinals, kind="stable")
+            ordinals, spots = ordinals[order], spots[order]
+            at = runs(ordinals)
+            who = ordinals[at[:-1]]
+            cols[0].append(keys[who])
+            cols[1].append(labels[who])
+            cols[2].extend(spots[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True))
+        trim()
+        long = lambda c: pa.array(np.concatenate([*c, np.empty(0, np.int64)]).astype(np.int64), pa.int64())
+        return pa.table({"key": long(cols[0]), "label": long(cols[1]), "spots": pa.array(cols[2], pa.binary())})
+
+    return rows.groupBy("bucket").applyInArrow(of, ROWS).groupBy(F.col("bucket").alias("b")).applyInArrow(by_text, REPLIES)
+
+
+def ask_shared(n: int, batch: int, hashes: np.ndarray, ordinals: np.ndarray, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Asks which hashes another text has too. What the batch knows itself is sent as known, with one entry that tells the others."""
     if not len(hashes):
         return
     order = np.argsort(hashes, kind="stable")
-    o, at = owners[order], runs(hashes[order])
+    o, at = ordinals[order], runs(hashes[order])
     several = np.minimum.reduceat(o, at[:-1]) != np.maximum.reduceat(o, at[:-1])
     many = np.zeros(len(hashes), bool)
     many[order] = np.repeat(several, np.diff(at))
-    b = bucket_of(hashes, n)
     if many.any():
-        yield packed(b[many], owners[many], labels[many], hashes[many], spots[many], known=True)
+        yield known_row(n, batch, ordinals[many], spots[many])
         told = order[at[:-1][several]]
-        yield packed(b[told], owners[told], np.full(len(told), -1), hashes[told], spots[told])
+        yield ask_rows(n, batch, hashes[told], np.full(len(told), TOLD), spots[told])
     if not many.all():
-        yield packed(b[~many], owners[~many], labels[~many], hashes[~many], spots[~many])
+        yield ask_rows(n, batch, hashes[~many], ordinals[~many], spots[~many])
 
 
-def shared(keys: np.ndarray, labels: np.ndarray, hashes: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    """For answer(): the entries whose hash has another owner."""
-    out = np.zeros(len(hashes), bool)
-    if len(hashes):
-        order = np.lexsort((keys, hashes))
-        k, at = keys[order], runs(hashes[order])
-        several = (k[at[:-1]] != k[at[1:] - 1]) | (np.minimum.reduceat(labels[order], at[:-1]) < 0)
+def shared(e: Entries) -> np.ndarray:
+    """For answer(): the entries whose hash another batch has too, or texts that it knows of."""
+    out = np.zeros(len(e.hashes), bool)
+    if len(out):
+        order = np.argsort(e.hashes, kind="stable")
+        b, o, at = e.batches[order], e.ordinals[order], runs(e.hashes[order])
+        several = (np.minimum.reduceat(b, at[:-1]) != np.maximum.reduceat(b, at[:-1])) | (np.maximum.reduceat(o, at[:-1]) == TOLD)
         out[order] = np.repeat(several, np.diff(at))
-        out &= labels >= 0  # an entry that stands for known ones has its answer
+        out &= e.ordinals != TOLD
     return out

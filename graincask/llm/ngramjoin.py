@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincask.llm import exchange as X
-from graincask.llm.common import few, n_tasks, settle, table
+from graincask.llm.common import few, n_tasks, settle, table, within
 from graincask.llm.components import components
 from graincask.llm.words import WHITESPACE, Splitter, chunks, mix, valid_windows
 
@@ -100,30 +100,30 @@ def likely(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) ->
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(WHITESPACE, lower=True)
-        for batch in X.first_in_batch(batches, "row_key"):
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for number, batch in X.batches_of(batches, "row_key"):
+            sets, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             parts = []
             for first, _, data, offsets in chunks(batch, "text"):
                 h, o = text_sets(split, data, offsets, shingle)
+                if not len(h):
+                    continue
                 at = X.runs(o)
-                sizes = np.diff(at)
-                rank = np.arange(len(h)) - np.repeat(at[:-1], sizes)
-                n = np.repeat(sizes, sizes)
+                size = np.diff(at)
+                who = first + o[at[:-1]]
+                sets[who], sizes[who] = np.add.reduceat(mix(h + np.uint64(1)), at[:-1]).view(np.int64), size
+                rank, n = np.arange(len(h)) - np.repeat(at[:-1], size), np.repeat(size, size)
                 kept = rank < n - least_overlap(n, percent) + extra(n, percent)
-                # an owner is a set: equal sets of different texts don't count for each other
-                whole = np.add.reduceat(mix(h + np.uint64(1)), at[:-1]).view(np.int64) if len(h) else np.empty(0, np.int64)
-                parts.append((h[kept], np.repeat(whole, sizes)[kept], n[kept], keys[first + o[kept]]))
+                parts.append((h[kept], first + o[kept]))
             if not parts:
                 continue
-            h, owner, n, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # a set twice in a batch asks once
-            uniq, inv = np.unique(owner, return_inverse=True)
-            lead = np.zeros(len(uniq), np.int64)
-            lead[inv[::-1]] = key[::-1]
-            one = lead[inv] == key
-            yield from X.ask_shared(h[one], owner[one], n[one], np.zeros(int(one.sum()), np.uint32), n_buckets)
-
-    told = X.answer(keyed.select("row_key", "text").mapInArrow(ask, X.ROWS), X.shared)
+            h, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # a set that several texts of the batch have asks once
+            lead = np.zeros(batch.num_rows, bool)
+            lead[np.unique(sets, return_index=True)[1]] = True
+            yield X.table_row(n_buckets, number, sets, sizes)
+            yield from X.ask_shared(n_buckets, number, h[lead[owner]], owner[lead[owner]], np.zeros(int(lead[owner].sum()), np.uint32))
+
+    told = X.answer(keyed.select("row_key", "text").mapInArrow(ask, X.ROWS), X.shared, n_buckets)
     shared = F.floor(F.sum(F.octet_length("spots")) / 4)
     m = f"(({percent} * label + 99) div 100)"  # the smallest partner's size
     need = F.expr(f"greatest(1, ((({percent} * {m} + 99) div 100) + 9) div 10)")
@@ -138,7 +138,7 @@ def sets_of(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(WHITESPACE, lower=True)
-        for whole in X.first_in_batch(batches, "label"):
+        for _, whole in X.batches_of(batches, "label"):
             for s in range(0, whole.num_rows, 2000):
                 batch = whole.slice(s, 2000)
                 labels = batch.column(0).to_numpy(zero_copy_only=False)
@@ -166,10 +166,11 @@ def _frequencies(sets: DataFrame) -> DataFrame:
                 h = np.frombuffer(b"".join(batch.column(3).take(pa.array(np.flatnonzero(gids == g))).to_pylist()), np.uint64)
                 u, c = np.unique(h, return_counts=True)
                 if len(u):
-                    yield X.packed(X.bucket_of(u, n_buckets), np.full(len(u), g), np.zeros(len(u), np.int64), u, c)
+                    yield X.ask_rows(n_buckets, int(g), u, np.zeros(len(u)), c)
 
     def total(t: pa.Table) -> pa.Table:
-        gids, _, hashes, counts = X.unpacked(t)
+        e = X.Entries(t)
+        gids, hashes, counts = e.batches, e.hashes, e.spots
         u, inv = np.unique(hashes, return_inverse=True)
         df = np.bincount(inv, counts, len(u)).astype(np.uint32)[inv]
         keep = df > 1
@@ -344,24 +345,38 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """label, row_key, n (shingles), component (a label) of every document; see _keyed for labels."""
+    """label, row_key, n (shingles), component (a label) and root (its node, null without shingles) of every document; see _label."""
     keyed = _keyed(docs, id_col, text_col)
     rows = settle(measured(keyed, shingle))
     classes = rows.filter("n > 0").groupBy("key", "key2").agg(F.min(F.struct("label", "row_key")).alias("rep"))
-    near = likely(keyed, percent, shingle).withColumnRenamed("key", "set_key")
-    reps = (classes.join(near, classes["key"] == near["set_key"], "left_semi").select("rep.label", "rep.row_key"))
-    sets = settle(sets_of(keyed.join(reps, ["label", "row_key"]), shingle))
+    # a node is a class: its smallest id, or a hash where classes of different texts share that
+    named = classes.select("key", "key2", "rep.label", "rep.row_key")
+    shared_ids = settle(named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("label"))
+    unique = not shared_ids.limit(1).count()
+    if unique:
+        named = named.withColumn("node", F.col("label"))
+    else:
+        marked = named.join(shared_ids.withColumn("m", F.lit(True)), "label", "left")
+        named = marked.withColumn("node", F.when(F.col("m"), -1 - F.pmod(F.xxhash64("label", "key", "key2"), F.lit(1 << 62))).otherwise(F.col("label"))).drop("m")
+    first = settle(named)
+    once = keyed.join(F.broadcast(first.select("label", "row_key")), ["label", "row_key"], "left_semi") if few(first) else keyed
+    near = likely(once, percent, shingle).withColumnRenamed("key", "set_key")
+    reps = settle(first.join(near, first["key"] == near["set_key"], "left_semi").select("label", "row_key", "node"))
+    sets = settle(sets_of(within(keyed, reps, "row_key").join(reps, ["label", "row_key"]).select(F.col("node").alias("label"), "text"), shingle))
     rank = settle(ranked(sets, percent))
     star = settle(verified(candidates(rank.withColumn("grp", F.col("label")), percent), rank, percent))
-    first = components(star)
-    grouped = rank.join(first.select(F.col("a").alias("label"), F.col("b").alias("c")), "label", "left").withColumn("grp", F.coalesce("c", "label"))
+    found = components(star)
+    grouped = rank.join(found.select(F.col("a").alias("label"), F.col("b").alias("c")), "label", "left").withColumn("grp", F.coalesce("c", "label"))
     more = settle(verified(candidates(grouped, percent, across=True), rank, percent))
-    final = components(first.union(more)) if more.limit(1).count() else first
+    final = components(found.union(more)) if more.limit(1).count() else found
     # a set without elements has a key of its own: no hot key, no match
     mine = rows.select("label", "row_key", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("label", "row_key")).alias("key"), F.when(F.col("n") > 0, F.col("key2")).otherwise(F.col("label")).alias("key2"))
-    smallest = classes.select("key", "key2", F.col("rep.label").alias("rep"))
-    at = smallest.join(final.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left").select("key", "key2", F.coalesce("c", "rep").alias("component"))
-    return mine.join(at, ["key", "key2"], "left").select("label", "row_key", "n", F.coalesce("component", "label").alias("component"))
+    rooted = first.join(final.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("key", "key2", "label", F.coalesce("root", "node").alias("root"))
+    if unique:
+        at = rooted.select("key", "key2", "root", F.col("root").alias("component"))
+    else:  # the smallest id of the component isn't its smallest node
+        at = rooted.join(rooted.groupBy("root").agg(F.min("label").alias("component")), "root").select("key", "key2", "root", "component")
+    return mine.join(at, ["key", "key2"], "left").select("label", "row_key", "n", F.coalesce("component", "label").alias("component"), "root")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -373,7 +388,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
 def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id (of several with that id, one); all that are linked with nothing, empty ones too."""
     at = settle(placed(docs, id_col=id_col, text_col=text_col, percent=percent).filter("label = component"))
-    one = at.filter("n > 0").groupBy("label").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("rows"))
+    one = at.filter("n > 0").groupBy("root").agg(F.min(F.struct("label", "row_key")).alias("r"), F.count(F.lit(1)).alias("rows")).select("r.label", "r.row_key", "rows")
     keep = settle(one.select("label", "row_key", (F.col("rows") > 1).alias("repeated")).union(at.filter("n = 0").select("label", "row_key", F.lit(False)).distinct()))
     whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
     text = F.coalesce(F.col("__t"), F.lit(""))

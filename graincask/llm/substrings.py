@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincask.llm import exchange as X
-from graincask.llm.common import settle, table
+from graincask.llm.common import few, settle, table, within
 from graincask.llm.words import WHITESPACE, Splitter, chunks, valid_windows
 
 WINDOW, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 LAST = (1 << 63) - 1
+#: Bytes of anchor places up to which they are sent to all tasks; beyond, they are joined.
+BROADCAST_BYTES = 16 << 20
 
 
 def covers(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> bool:
@@ -40,25 +42,26 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_anchors(keyed: DataFrame) -> DataFrame:
-    """(key, label 0, spots): places of the anchors of a text that another text has too."""
+    """(key, label 0, spots): places of the anchors of a text that another text has too, or a copy of it in another batch."""
     n = X.n_buckets(keyed)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, in_cover = Splitter(WHITESPACE), np.isin(np.arange(PERIOD), COVER)
-        for batch in X.first_in_batch(batches, "key"):
+        for number, batch in X.batches_of(batches, "key"):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
+            yield X.table_row(n, number, keys, np.zeros(len(keys), np.int64))
             parts = []
-            for first, end, data, offsets in chunks(batch, "text"):
+            for first, _, data, offsets in chunks(batch, "text"):
                 _, _, hashes, firsts = split.words(data, offsets)
                 lengths = np.diff(firsts)
                 place = np.arange(firsts[-1]) - np.repeat(firsts[:-1], lengths)
                 ok = valid_windows(firsts, ANCHOR)
                 ok = ok[in_cover[place[ok] % PERIOD]]
-                parts.append((split.windows(hashes, ANCHOR)[ok], np.repeat(keys[first:end], lengths)[ok], place[ok].astype(np.uint32)))
+                parts.append((split.windows(hashes, ANCHOR)[ok], np.repeat(np.arange(first, first + len(lengths)), lengths)[ok], place[ok]))
             hashes, owners, spots = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from X.ask_shared(hashes, owners, np.zeros(len(hashes), np.int64), spots, n)
+            yield from X.ask_shared(n, number, hashes, owners, spots)
 
-    return X.answer(keyed.select("key", "text").mapInArrow(ask, X.ROWS), X.shared)
+    return X.answer(keyed.select("key", "text").mapInArrow(ask, X.ROWS), X.shared, n)
 
 
 def repeated_windows(candidates: DataFrame) -> DataFrame:
@@ -70,10 +73,9 @@ def repeated_windows(candidates: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(WHITESPACE)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for number, batch in X.batches_of(batches, "label"):
             keys, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield X.table_row(n, number, keys, labels)
             anchors = batch.column(3).to_pylist()
             parts = []
             for first, end, data, offsets in chunks(batch, "text"):
@@ -88,40 +90,47 @@ def repeated_windows(candidates: DataFrame) -> DataFrame:
                 ok = valid_windows(firsts, WINDOW)
                 ok = ok[np.cumsum(near)[ok] > 0]
                 place = np.arange(firsts[-1]) - np.repeat(firsts[:-1], lengths)
-                parts.append((split.windows(hashes, WINDOW)[ok], np.repeat(keys[first:end], lengths)[ok], np.repeat(labels[first:end], lengths)[ok], place[ok].astype(np.uint32)))
-            hashes, owners, marks, spots = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((split.windows(hashes, WINDOW)[ok], np.repeat(np.arange(first, end), lengths)[ok], place[ok]))
+            hashes, owners, spots = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(hashes):
                 continue
             order = np.argsort(hashes, kind="stable")
-            at = X.runs(hashes[order])
+            at, marks = X.runs(hashes[order]), labels[owners]
             least = np.empty(len(hashes), np.int64)
             least[order] = np.repeat(np.minimum.reduceat(marks[order], at[:-1]), np.diff(at))
-            b, gone = X.bucket_of(hashes, n), marks > least
+            gone = marks > least
             if gone.any():
-                yield X.packed(b[gone], owners[gone], marks[gone], hashes[gone], spots[gone], known=True)
-            yield X.packed(b[~gone], owners[~gone], marks[~gone], hashes[~gone], spots[~gone])
-
-    def later(keys, labels, hashes, spots):
-        out = np.zeros(len(hashes), bool)
-        if len(hashes):
-            order = np.argsort(hashes, kind="stable")
-            at = X.runs(hashes[order])
-            out[order] = labels[order] > np.repeat(np.minimum.reduceat(labels[order], at[:-1]), np.diff(at))
+                yield X.known_row(n, number, owners[gone], spots[gone])
+            yield X.ask_rows(n, number, hashes[~gone], owners[~gone], spots[~gone], marks[~gone])
+
+    def later(e: X.Entries) -> np.ndarray:
+        out = np.zeros(len(e.hashes), bool)
+        if len(out):
+            order = np.argsort(e.hashes, kind="stable")
+            at = X.runs(e.hashes[order])
+            out[order] = e.marks[order] > np.repeat(np.minimum.reduceat(e.marks[order], at[:-1]), np.diff(at))
         return out
 
-    return X.answer(candidates.select("key", "label", "text", "anchors").mapInArrow(ask, X.ROWS), later)
+    return X.answer(candidates.select("key", "label", "text", "anchors").mapInArrow(ask, X.ROWS), later, n)
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and per (key, label) that loses words: whole (a copy of a text with a smaller label) or starts (packed, list)."""
+    """The keyed documents, and a row per text key that loses words: copies (key2 and smallest label of equal texts), windows (label and packed starts).
+
+    Both are arrays of one entry, but for texts of different content with the same key.
+    """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = settle(shared_anchors(keyed).groupBy("key").agg(F.collect_list("spots").alias("anchors")))
-    first = keyed.groupBy("key", "key2").agg(F.min("label").alias("first"), F.max("label").alias("last"))
-    texts = keyed.join(anchors, "key").dropDuplicates(["key", "key2", "label"])
-    once = texts.join(first.filter("first < last").select("key", "key2", "first"), ["key", "key2"], "left").filter("first IS NULL OR label = first").drop("first")
-    windows = repeated_windows(settle(once)).groupBy("key", "label").agg(F.collect_list("spots").alias("starts"))
-    copies = first.filter("first < last").select("key", "key2", "first")
-    return keyed, windows, copies
+    copies = settle(keyed.groupBy("key", "key2").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").drop("last"))
+    # of equal texts the one with the smallest id stands for all
+    once = keyed.join(F.broadcast(copies) if few(copies) else copies, ["key", "key2"], "left").filter("first IS NULL OR label = first").drop("first")
+    anchors = settle(shared_anchors(once).groupBy("key").agg(F.collect_list("spots").alias("anchors")))
+    size = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    near = F.broadcast(anchors) if size <= BROADCAST_BYTES else anchors
+    # repeated rows of one id meet in one batch or are harmless: they aren't smaller than each other
+    texts = within(once, anchors, "key").join(near, "key")
+    windows = repeated_windows(settle(texts))
+    by_key = windows.groupBy("key", "label").agg(F.collect_list("spots").alias("starts")).groupBy("key").agg(F.collect_list(F.struct("label", "starts")).alias("windows"))
+    return keyed, settle(copies.groupBy("key").agg(F.collect_list(F.struct("key2", "first")).alias("copies")).join(by_key, "key", "full"))
 
 
 def kept_words(rows: DataFrame, *, with_text: bool = True) -> DataFrame:
@@ -161,8 +170,16 @@ def kept_words(rows: DataFrame, *, with_text: bool = True) -> DataFrame:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every document."""
-    keyed, windows, copies = removals(docs, id_col=id_col, text_col=text_col)
-    rows = keyed.join(windows, ["key", "label"], "left").join(copies, ["key", "key2"], "left").select("label", "text", "starts", (F.coalesce(F.col("first"), F.col("label")) < F.col("label")).alias("whole"))
+    keyed, losing = removals(docs, id_col=id_col, text_col=text_col)
+    if few(losing):  # texts that lose nothing aren't moved
+        some = keyed.join(F.broadcast(losing.select("key")), "key", "left_semi").join(losing, "key")
+        none = keyed.join(F.broadcast(losing.select("key")), "key", "left_anti")
+        both = some.unionByName(none, allowMissingColumns=True)
+    else:
+        both = keyed.join(losing, "key", "left")
+    starts = F.flatten(F.transform(F.filter("windows", lambda w: w["label"] == F.col("label")), lambda w: w["starts"]))
+    whole = F.exists("copies", lambda c: (c["key2"] == F.col("key2")) & (c["first"] < F.col("label")))
+    rows = both.select("label", "text", starts.alias("starts"), F.coalesce(whole, F.lit(False)).alias("whole"))
     out = kept_words(rows, with_text=with_text)
     return out.select(F.when(F.col("label") != LAST, F.col("label")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
