@@ -12,6 +12,8 @@ NGRAM = 13
 SHORT, MIDDLE, LONG = 4096, 8192, 32768
 #: Words of a shingle, MinHash functions, bands of them, and the similarity from which texts are near duplicates, in hundredths.
 SHINGLE, HASHES, BANDS, PERCENT = 5, 64, 16, 75
+#: Rows of a block: a bucket's pairs are dealt to tasks by pairs of its blocks.
+BLOCK = 512
 PRIME = (1 << 31) - 1
 # Phrases that show a licence, the first that is found counts.
 LICENCES = (("Apache License", "apache-2.0"), ("MIT License", "mit"), ("GNU General Public License", "gpl-3.0"), ("CC BY-NC", "cc-by-nc-4.0"))
@@ -72,20 +74,23 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def minhash_links(sets: DataFrame) -> DataFrame:
     """Pairs a < b of classes with a Jaccard similarity of at least PERCENT, found by banded MinHash.
 
-    In each bucket a class is paired with the smallest id and with the one before it: linear in the bucket, and every bucket stays connected.
+    All pairs of a bucket are candidates but those whose sizes alone rule the similarity out. A bucket is cut in blocks and each pair of blocks is a key of the join, so a large one spreads.
     """
     params = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in hash_parameters()])
     hashes = F.transform("shingles", lambda g: T.md5_number(g))
-    signed = sets.select("doc_id", T.let(hashes, lambda h: F.transform(params, lambda p: F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % PRIME)))).alias("sig"))
+    signed = sets.select("doc_id", F.size("shingles").alias("n"), T.let(hashes, lambda h: F.transform(params, lambda p: F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % PRIME)))).alias("sig"))
     rows = HASHES // BANDS
 
     def bands(sig: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.array_join(F.slice(sig, k * rows + 1, rows), ",").alias("value")))
 
-    banded = signed.select("doc_id", F.explode(T.let(F.col("sig"), bands)).alias("b")).select("doc_id", "b.band", "b.value")
-    w = W.partitionBy("band", "value").orderBy("doc_id")
-    near = banded.select("doc_id", F.first("doc_id").over(w).alias("head"), F.lag("doc_id").over(w).alias("previous"))
-    pairs = near.select(F.explode(F.array("head", "previous")).alias("a"), F.col("doc_id").alias("b")).filter("a < b").distinct()
+    banded = signed.select("doc_id", "n", F.explode(T.let(F.col("sig"), bands)).alias("b")).select("doc_id", "n", "b.band", "b.value")
+    bucket = W.partitionBy("band", "value")
+    placed = banded.withColumns({"block": F.floor((F.row_number().over(bucket.orderBy("doc_id")) - 1) / BLOCK), "last": F.floor((F.count(F.lit(1)).over(bucket) - 1) / BLOCK)})
+    left = placed.select("band", "value", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("doc_id").alias("a"), F.col("n").alias("p"))
+    right = placed.select("band", "value", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("n").alias("q"))
+    alike = 100 * F.least("p", "q") >= PERCENT * F.greatest("p", "q")
+    pairs = left.join(right, ["band", "value", "i", "j"]).filter(F.expr("a < b") & alike).select("a", "b").distinct()
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     sized = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
     return sized.filter(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared"))).select("a", "b", F.round(F.col("shared") / (F.col("both") - F.col("shared")), 6).alias("jaccard"))

@@ -2,6 +2,10 @@
 
 import ast
 import difflib
+import hashlib
+import itertools
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -208,3 +212,45 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def brute_minhash(texts):
+    """Pairs of representatives that share a band and are alike, over all pairs."""
+    first = {}
+    for i, t in sorted(texts):
+        w = re.findall("[a-z0-9]+", t.lower())
+        first.setdefault(frozenset(" ".join(w[k : k + curate.SHINGLE]) for k in range(len(w) - curate.SHINGLE + 1)), i)
+    sets = {i: s for s, i in first.items() if s}
+    rows = curate.HASHES // curate.BANDS
+
+    def bands(s):
+        hs = [int(hashlib.md5(g.encode()).hexdigest()[:7], 16) for g in s]
+        sig = [min((a * h + b) % curate.PRIME for h in hs) for a, b in curate.hash_parameters()]
+        return {(k, *sig[k * rows : (k + 1) * rows]) for k in range(curate.BANDS)}
+
+    banded = {i: bands(s) for i, s in sets.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if banded[a] & banded[b]]
+    alike = [(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in pairs]
+    return {(a, b, round(x / y, 6)) for a, b, x, y in alike if 100 * x >= curate.PERCENT * y}
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_minhash_links_all_pairs_of_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(curate, "BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+
+    def variant():
+        w = list(base)
+        for k in rng.sample(range(200), 3):
+            w[k] = f"v{rng.randrange(3000)}"
+        return " ".join(w)
+
+    texts = [(i, variant()) for i in range(60)] + [(100 + i, f"other text number {i} with words of its own {i * 7}") for i in range(5)]
+    docs, want = spark.createDataFrame(texts, "doc_id long, text string"), brute_minhash(texts)
+    assert len(want) > 300
+    assert set(rows(curate.minhash_links(curate.shingle_sets(docs).select("doc_id", "shingles")))) == want
+    least = {}
+    for a, b, _ in want:
+        least[b] = min(least.get(b, a), a)
+    assert {r["doc_id"]: r["duplicate_of"] for r in curate.near_duplicates(docs).collect()} == {i: least.get(i) for i, _ in texts}
