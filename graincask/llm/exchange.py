@@ -53,14 +53,16 @@ def number(batch: pa.RecordBatch, first: int) -> int:
     return (hash((TaskContext.get().partitionId(), batch.num_rows, first)) & ((1 << 63) - 1)) if TaskContext.get() else first
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The batches with a number each, of each key in a batch one row, and no longer than BATCH_ROWS."""
+def batches_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches with a number each, of rows equal in all keys one, and no longer than BATCH_ROWS."""
     k = 0
     for b in batches:
         for s in range(0, b.num_rows, BATCH_ROWS):
             part = b.slice(s, BATCH_ROWS)
-            keys = part.column(part.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            yield number(part, int(keys[0]) + k), part.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+            cols = [part.column(part.schema.get_field_index(key)).to_numpy(zero_copy_only=False) for key in keys]
+            order = np.lexsort(cols)  # stable: of equal rows the first is kept
+            at = runs(*(c[order] for c in cols))
+            yield number(part, int(cols[0][0]) + k), part.take(pa.array(np.sort(order[at[:-1]])))
             k += 1
 
 

@@ -67,13 +67,13 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
 def repeated_windows(candidates: DataFrame) -> DataFrame:
     """(key, label, spots): starts of the windows of a text that a text with a smaller label has too.
 
-    candidates: label, key, text and anchors (list of places, packed), a row per text.
+    candidates: label, key, key2, text and anchors (list of places, packed). An id may have several texts, and null ids are one label.
     """
     n = X.n_buckets(candidates)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(WHITESPACE)
-        for number, batch in X.batches_of(batches, "label"):
+        for number, batch in X.batches_of(batches, "label", "key", "key2"):
             keys, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             yield X.table_row(n, number, keys, labels)
             anchors = batch.column(3).to_pylist()
@@ -111,7 +111,7 @@ def repeated_windows(candidates: DataFrame) -> DataFrame:
             out[order] = e.marks[order] > np.repeat(np.minimum.reduceat(e.marks[order], at[:-1]), np.diff(at))
         return out
 
-    return X.answer(candidates.select("key", "label", "text", "anchors").mapInArrow(ask, X.ROWS), later, n)
+    return X.answer(candidates.select("key", "label", "text", "anchors", "key2").mapInArrow(ask, X.ROWS), later, n)
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     anchors = settle(shared_anchors(once).groupBy("key").agg(F.collect_list("spots").alias("anchors")))
     size = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
     near = F.broadcast(anchors) if size <= BROADCAST_BYTES else anchors
-    # repeated rows of one id meet in one batch or are harmless: they aren't smaller than each other
+    # equal rows of one id and text are searched once a batch or are harmless: they aren't smaller than each other
     texts = within(once, anchors, "key").join(near, "key")
     windows = repeated_windows(settle(texts))
     by_key = windows.groupBy("key", "label").agg(F.collect_list("spots").alias("starts")).groupBy("key").agg(F.collect_list(F.struct("label", "starts")).alias("windows"))

@@ -441,6 +441,16 @@ def test_substrings_brute_force(spark, odd, empty):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substrings_of_ids_with_several_texts(spark):
+    """Each text of a repeated or null id loses its passages, and is the earlier copy for larger ids."""
+    data = [(1, passage(700, 150) + " " + passage(701, 150))]
+    data += [(i, passage(710 + k, 40) + " " + passage(700 + k % 2, 150)) for k, i in enumerate([None] * 6 + [5] * 6)]
+    data += [(5, passage(730 + k, 90)) for k in range(4)] + [(9, passage(740, 20) + " " + passage(730 + k, 90)) for k in range(4)] + [(None, passage(730 + k, 90) + " x") for k in range(4)] * 2
+    docs = docs_of(spark, data)
+    for df in (docs.coalesce(1), docs.repartition(3)):
+        assert Counter(rows(substrings.dedup(df, with_text=False).drop("kept_text"))) == brute_removed(data)
+
+
 def test_exchange_tells_shared(spark):
     told = list(exchange.ask_shared(4, 7, np.array([5, 5, 6, 9], np.uint64) << np.uint64(33), np.array([0, 1, 0, 2]), np.arange(4)))
     kinds = [k for b in told for k in b.column("kind").to_pylist()]
