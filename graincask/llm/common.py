@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of this process where unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where that is unset and all runs in one process, as in tests, a folder of this process; on a cluster it must be set."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="graincask-")
         atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
@@ -54,17 +56,3 @@ def words_of(text: Column) -> Column:
 def n_tasks(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-#: Keys up to which a filter by keys is sent to all tasks (8 bytes each).
-BROADCAST_KEYS = 1_000_000
-
-
-def few(keys: DataFrame) -> bool:
-    """Whether so few rows that a long key each may be broadcast. keys should be settled."""
-    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-
-
-def within(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows that may have a key among keys, so that a join that follows moves no others. With too many keys to broadcast: all rows."""
-    return df.join(F.broadcast(keys.select(on)), on, "left_semi") if few(keys) else df

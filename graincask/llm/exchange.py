@@ -1,7 +1,7 @@
 """Packed exchanges: hashes of many texts go to buckets as a few binary columns per batch instead of a row each.
 
-An entry is a hash, the text's number within its batch and a place; who the text is stays in one table per batch, which the answers meet again. An entry's size so
-doesn't depend on the number of buckets. A batch that holds a hash more than once settles what it can by itself and sends one entry, so that a hash
+An entry is a hash (with a check of 32 more bits where wrong matches would change a result), the text's number within its batch and a place; who the text is stays in one table per batch, which the
+answers meet again by the part that holds the batch (see inplace). An entry's size so doesn't depend on the number of buckets. A batch that holds a hash more than once settles what it can by itself and sends one entry, so that a hash
 that occurs in one third of all texts costs a bucket one entry per batch, not one per text.
 """
 
@@ -15,20 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graincask.llm.common import n_tasks
+from graincask.llm.inplace import by_part
 from graincask.llm.words import trim
 
 #: Kinds of rows: entries that ask, entries whose answer is known, and a batch's table of keys (marks) and labels (hashes).
 ASK, KNOWN, TABLE = 0, 1, 2
-ROWS = "bucket int, batch long, kind int, ordinals binary, marks binary, hashes binary, spots binary"
-_ROWS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("ordinals", pa.binary()), ("marks", pa.binary()), ("hashes", pa.binary()), ("spots", pa.binary())])
-REPLIES = "key long, label long, spots binary"
-#: Rows of a batch at most, and the number that stands for texts whose answer is known.
-BATCH_ROWS, TOLD = 32_768, 65_535
+ROWS = "bucket int, batch long, kind int, ordinals binary, marks binary, hashes binary, checks binary, spots binary"
+_NAMES = ("bucket", "batch", "kind", "ordinals", "marks", "hashes", "checks", "spots")
+_ROWS = pa.schema([(c, t) for c, t in zip(_NAMES, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)])
+REPLIES = "part int, key long, label long, spots binary"
+#: Rows of a batch at most, the number that stands for texts whose answer is known, and the bits of a batch's number within its part.
+BATCH_ROWS, TOLD, PART_BITS = 32_768, 65_535, 24
 
 
-def n_buckets(df: DataFrame) -> int:
-    """Follows the input: at least one bucket per input partition and per shuffle partition."""
-    return max(n_tasks(df), df.rdd.getNumPartitions())
+def n_buckets(df: DataFrame, parts: int = 1) -> int:
+    """Follows the input: at least one bucket per part and per shuffle partition."""
+    return max(n_tasks(df), parts)
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -46,35 +48,31 @@ def runs(*arrays: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
 
 
-def number(batch: pa.RecordBatch, first: int) -> int:
-    """A number for a batch, from its first key and the task that reads it."""
-    from pyspark import TaskContext
+def batches_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """A number, the part and the rows of each batch: of rows equal in all keys one, and at most BATCH_ROWS."""
+    seen: dict[int, int] = {}
+    for part, rows in by_part(batches, BATCH_ROWS):
+        cols = [rows.column(rows.schema.get_field_index(key)).to_numpy(zero_copy_only=False) for key in keys]
+        order = np.lexsort(cols)  # stable: of equal rows the first is kept
+        at = runs(*(c[order] for c in cols))
+        seen[part] = k = seen.get(part, -1) + 1
+        yield (part << PART_BITS) + k, part, rows.take(pa.array(np.sort(order[at[:-1]])))
 
-    return (hash((TaskContext.get().partitionId(), batch.num_rows, first)) & ((1 << 63) - 1)) if TaskContext.get() else first
 
-
-def batches_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The batches with a number each, of rows equal in all keys one, and no longer than BATCH_ROWS."""
-    k = 0
-    for b in batches:
-        for s in range(0, b.num_rows, BATCH_ROWS):
-            part = b.slice(s, BATCH_ROWS)
-            cols = [part.column(part.schema.get_field_index(key)).to_numpy(zero_copy_only=False) for key in keys]
-            order = np.lexsort(cols)  # stable: of equal rows the first is kept
-            at = runs(*(c[order] for c in cols))
-            yield number(part, int(cols[0][0]) + k), part.take(pa.array(np.sort(order[at[:-1]])))
-            k += 1
+def _row(n: int, batch: int, kind: int, **columns: bytes) -> pa.RecordBatch:
+    part = batch >> PART_BITS
+    return pa.RecordBatch.from_pydict({"bucket": [part % n], "batch": [batch], "kind": [kind]} | {c: [columns.get(c, b"")] for c in _NAMES[3:]}, _ROWS)
 
 
 def table_row(n: int, batch: int, keys: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": [batch % n], "batch": [batch], "kind": [TABLE], "ordinals": [b""], "marks": [keys.astype(np.int64).tobytes()], "hashes": [labels.astype(np.int64).tobytes()], "spots": [b""]}, _ROWS)
+    return _row(n, batch, TABLE, marks=keys.astype(np.int64).tobytes(), hashes=labels.astype(np.int64).tobytes())
 
 
 def known_row(n: int, batch: int, ordinals: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": [batch % n], "batch": [batch], "kind": [KNOWN], "ordinals": [ordinals.astype(np.uint16).tobytes()], "marks": [b""], "hashes": [b""], "spots": [spots.astype(np.uint32).tobytes()]}, _ROWS)
+    return _row(n, batch, KNOWN, ordinals=ordinals.astype(np.uint16).tobytes(), spots=spots.astype(np.uint32).tobytes())
 
 
-def ask_rows(n: int, batch: int, hashes: np.ndarray, ordinals: np.ndarray, spots: np.ndarray, marks: np.ndarray | None = None) -> pa.RecordBatch:
+def ask_rows(n: int, batch: int, hashes: np.ndarray, ordinals: np.ndarray, spots: np.ndarray, marks: np.ndarray | None = None, checks: np.ndarray | None = None) -> pa.RecordBatch:
     """One row per bucket. marks: a number per entry that the bucket needs."""
     b = bucket_of(hashes, n)
     order = np.argsort(b, kind="stable")
@@ -84,21 +82,21 @@ def ask_rows(n: int, batch: int, hashes: np.ndarray, ordinals: np.ndarray, spots
     blank = pa.array([b""] * rows, pa.binary())
     return pa.RecordBatch.from_arrays([
         pa.array(b[order][at[:-1]], pa.int32()), pa.array(np.full(rows, batch)), pa.array(np.full(rows, ASK, np.int32)), cut(ordinals.astype(np.uint16)[order]),
-        blank if marks is None else cut(marks.astype(np.int64)[order]), cut(hashes[order]), cut(spots.astype(np.uint32)[order])], schema=_ROWS)
+        blank if marks is None else cut(marks.astype(np.int64)[order]), cut(hashes[order]), blank if checks is None else cut(checks.astype(np.uint32)[order]), cut(spots.astype(np.uint32)[order])], schema=_ROWS)
 
 
 class Entries:
-    """Entries of a bucket: batch, ordinal, hash, spot and, where sent, mark of each."""
+    """Entries of a bucket: batch, ordinal, hash, spot and, where sent, mark and check of each."""
 
     def __init__(self, table: pa.Table):
         whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        self.ordinals, self.hashes, self.spots, self.marks = whole("ordinals", np.uint16), whole("hashes", np.uint64), whole("spots", np.uint32), whole("marks", np.int64)
+        self.ordinals, self.hashes, self.checks, self.spots, self.marks = whole("ordinals", np.uint16), whole("hashes", np.uint64), whole("checks", np.uint32), whole("spots", np.uint32), whole("marks", np.int64)
         sizes = np.array([len(x) // 2 for x in table.column("ordinals").to_pylist()], np.int64)
         self.batches = np.repeat(table.column("batch").to_numpy(), sizes) if len(sizes) else np.empty(0, np.int64)
 
 
 def answer(rows: DataFrame, reduce, n: int) -> DataFrame:
-    """key, label, spots (packed): the entries for which reduce(Entries) gives True, and the known ones, by text. A text may have several rows if several batches hold it."""
+    """part, key, label, spots (packed): the entries for which reduce(Entries) gives True, and the known ones, by text. A text that several batches of a part hold may have several rows."""
 
     def of(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
@@ -116,7 +114,7 @@ def answer(rows: DataFrame, reduce, n: int) -> DataFrame:
     def by_text(t: pa.Table) -> pa.Table:
         kinds, batches = t.column("kind").to_numpy(), t.column("batch").to_numpy()
         cols: tuple[list, list, list] = ([], [], [])
-        for batch in np.unique(batches[kinds == TABLE]):
+        for batch in np.unique(batches[kinds == KNOWN]):
             mine = batches == batch
             tables = t.take(pa.array(np.flatnonzero(mine & (kinds == TABLE))[:1]))
             keys, labels = (np.frombuffer(tables.column(c)[0].as_py(), np.int64) for c in ("marks", "hashes"))
@@ -130,11 +128,13 @@ def answer(rows: DataFrame, reduce, n: int) -> DataFrame:
             cols[0].append(keys[who])
             cols[1].append(labels[who])
             cols[2].extend(spots[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True))
+        part = t.column("part")[0].as_py()
         trim()
         long = lambda c: pa.array(np.concatenate([*c, np.empty(0, np.int64)]).astype(np.int64), pa.int64())
-        return pa.table({"key": long(cols[0]), "label": long(cols[1]), "spots": pa.array(cols[2], pa.binary())})
+        return pa.table({"part": pa.array(np.full(len(cols[2]), part, np.int32)), "key": long(cols[0]), "label": long(cols[1]), "spots": pa.array(cols[2], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(of, ROWS).groupBy(F.col("bucket").alias("b")).applyInArrow(by_text, REPLIES)
+    known = rows.groupBy("bucket").applyInArrow(of, ROWS)
+    return known.withColumn("part", F.shiftright("batch", PART_BITS).cast("int")).groupBy("part").applyInArrow(by_text, REPLIES)
 
 
 def ask_shared(n: int, batch: int, hashes: np.ndarray, ordinals: np.ndarray, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -164,3 +164,28 @@ def shared(e: Entries) -> np.ndarray:
         out[order] = np.repeat(several, np.diff(at))
         out &= e.ordinals != TOLD
     return out
+
+
+def _least(hashes: np.ndarray, checks: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """For each entry the smallest mark of those with its hash and check."""
+    out = np.empty(len(hashes), np.int64)
+    if len(out):
+        order = np.lexsort((checks, hashes))
+        at = runs(hashes[order], checks[order])
+        out[order] = np.repeat(np.minimum.reduceat(marks[order], at[:-1]), np.diff(at))
+    return out
+
+
+def ask_earlier(n: int, batch: int, hashes: np.ndarray, checks: np.ndarray, ordinals: np.ndarray, spots: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Asks which hashes, checks included, an entry with a smaller mark has too. What the batch knows itself is sent as known."""
+    if not len(hashes):
+        return
+    gone = marks > _least(hashes, checks, marks)
+    if gone.any():
+        yield known_row(n, batch, ordinals[gone], spots[gone])
+    yield ask_rows(n, batch, hashes[~gone], ordinals[~gone], spots[~gone], marks[~gone], checks[~gone])
+
+
+def earlier(e: Entries) -> np.ndarray:
+    """For answer(): the entries whose hash and check an entry with a smaller mark has too."""
+    return e.marks > _least(e.hashes, e.checks, e.marks)

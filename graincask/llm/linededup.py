@@ -1,79 +1,103 @@
 """Removal of boilerplate lines by how many distinct sites hold them.
 
-One HyperLogLog sketch of sites per line hash, merged by aggregation, estimates each line's spread; lines whose estimate is near the threshold get an exact distinct count.
-A line on at least MIN_SITES sites goes everywhere but from the document with the smallest id that has it, so that no content is lost from the corpus.
-Only hashes are exchanged, with partial aggregation, and only documents that lose lines are moved to be joined with the places of those.
+The lines are taken apart once and settled as hashes. One HyperLogLog sketch of sites per line hash, merged by aggregation, estimates each line's spread; lines whose estimate is near the threshold get an exact
+distinct count. A line on at least MIN_SITES sites goes everywhere but from the document with the smallest id that has it, so that no content is lost from the corpus.
+Only hashes are moved, with partial aggregation; texts are read in place (see inplace), at every size. A line that a third of all documents hold is one row on the small side of the join with the lines, so Spark may split the other.
 
 Defined results: a null or empty text has no lines. Lines of fewer than MIN_WORDS words always stay. A null site isn't counted. A null id is larger than all others; equal ids
-keep or lose a line together. Repeated rows stay. Other columns pass through in clean(), which gives an empty table for an empty one.
+keep or lose a line together. Repeated rows stay. Other columns pass through in clean(), but those named n_lines or n_removed, which its measures replace; stage() keeps those too. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincask.llm.common import few, let, settle, table
+from graincask.llm import inplace
+from graincask.llm.common import settle, table
 
 MIN_SITES, MIN_WORDS = 10, 3
 #: Logarithm of a sketch's registers (a standard error of 1.6 %), and the part of the threshold within which estimates are settled by an exact count.
 LG_K, NEAR = 12, 0.2
 LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
+LINE = ["h1", "h2"]
 
 
-def _lines(text: Column) -> Column:
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+def _pinned(docs: DataFrame, id_col: str, text_col: str, site: Column | None, *more: Column) -> inplace.Pinned:
+    site = (F.col("source") if site is None else site).cast("string")
+    return inplace.pinned(docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("label"), F.xxhash64(text_col).alias("key"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"), F.col(text_col).alias("text"), *more))
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str, site: Column) -> DataFrame:
-    """label, key (of the text), site, place and two hashes of every line that may go."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("label"), F.xxhash64(text_col).alias("key"), site.cast("string").alias("site"), F.posexplode(_lines(F.col(text_col))).alias("place", "line"))
-    return rows.filter(F.regexp_count("line", F.lit(WORD)) >= MIN_WORDS).select("label", "key", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+def exploded(docs: inplace.Pinned) -> DataFrame:
+    """part, label, key (of the text), site, place and two hashes of every line that may go. Settled."""
+    rows = docs.rows.filter("text <> ''").select("part", "label", "key", "site", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return settle(rows.filter(F.regexp_count("line", F.lit(WORD)) >= MIN_WORDS).select("part", "label", "key", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
 
 
-def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2, first (smallest label) of the lines on at least so many sites."""
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The lines (rows) whose hash is on at least so many sites, with first, the smallest label that has it."""
     sketched = settle(
-        lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("label").alias("first"))
-        .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= min_sites * (1 - NEAR)))
+        lines.groupBy(LINE).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("label").alias("first"))
+        .select(*LINE, "first", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= min_sites * (1 - NEAR)))
+    hits = settle(lines.join(sketched, LINE))
     sure = F.col("estimate") > min_sites * (1 + NEAR)
-    near = sketched.filter(~sure)
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    return settle(sketched.filter(sure).select("h1", "h2", "first").union(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first")))
-
-
-def losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site: Column | None = None, min_sites: int = MIN_SITES) -> DataFrame:
-    """label, key, places of the lines that each text loses. Settled."""
-    lines = exploded(docs, id_col, text_col, F.col("source") if site is None else site)
-    boiler = spread(lines, min_sites)
-    gone = lines.join(F.broadcast(boiler) if few(boiler) else boiler, ["h1", "h2"]).filter("label > first")
-    return settle(gone.groupBy("label", "key").agg(F.collect_set("place").alias("places")))
-
-
-def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site: Column | None = None, min_sites: int = MIN_SITES, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The documents' columns (or those named), with n_lines and n_removed, the text without its boilerplate lines; a text that loses none stays as it is, a null too."""
-    lost = losses(docs, id_col=id_col, text_col=text_col, site=site, min_sites=min_sites)
-    kept = tuple(docs.columns) if keep is None else keep
-    rows = docs.select(F.struct(*kept).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("label"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__t"))
-    if few(lost):  # texts that lose nothing aren't moved
-        some = rows.join(F.broadcast(lost.select("key").distinct()), "key", "left_semi").join(lost, ["label", "key"], "left")
-        none = rows.join(F.broadcast(lost.select("key").distinct()), "key", "left_anti")
-        both = some.unionByName(none, allowMissingColumns=True)
-    else:
-        both = rows.join(lost, ["label", "key"], "left")
-    lines = _lines(F.col("__t"))
-    # linear also for a long text that loses most lines
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
-    text = F.when(F.col("places").isNull(), F.col("__t")).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")))
-    return both.select(
-        *[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in kept], *([] if text_col in kept else [text.alias("__kept")]),
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
+    exact = hits.filter(~sure).groupBy(LINE).agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites).select(LINE)
+    return hits.filter(sure).unionByName(hits.filter(~sure).join(exact, LINE, "left_semi"))
+
+
+def losses(docs: inplace.Pinned, min_sites: int = MIN_SITES) -> str:
+    """Where the places of the lines that texts lose are filed, by key and label."""
+    gone = boilerplate(exploded(docs), min_sites).filter("label > first")
+    return inplace.file_away(gone.groupBy("part", "key", "label").agg(F.collect_set("place").alias("places")))
+
+
+def _cleaned(docs: inplace.Pinned, row_type: str, min_sites: int) -> DataFrame:
+    """row, text (without its boilerplate lines; one that loses none stays as it is, a null too), n_lines, n_removed."""
+    filed = losses(docs, min_sites)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, told = None, None
+        for part, batch in inplace.by_part(batches, 1 << 12):
+            if part != at:
+                at, told = part, inplace.Told(filed, part, "key", "label")
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            texts, found = column("text"), told.find(column("key").to_numpy(), column("label").to_numpy())
+            n = column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            removed = np.zeros(len(n), np.int64)
+            some = np.flatnonzero(found >= 0)
+            if len(some):
+                new = texts.to_pylist()
+                for i in some.tolist():
+                    places = set(told.table.column("places")[int(found[i])].as_py())
+                    removed[i] = len(places)
+                    new[i] = "\n".join([x for k, x in enumerate(new[i].split("\n")) if k not in places])
+                texts = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([column("row"), texts, pa.array(n), pa.array(removed)], names=["row", "text", "n_lines", "n_removed"])
+
+    count = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    return docs.rows.select("part", "label", "key", "row", "text", count.cast("long").alias("n")).mapInArrow(cut, f"row {row_type}, text string, n_lines long, n_removed long")
+
+
+def _whole(docs: DataFrame) -> tuple[Column, str]:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs.schema.simpleString()
+
+
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site: Column | None = None, min_sites: int = MIN_SITES) -> DataFrame:
+    """The documents' columns, with n_lines and n_removed; a text without its boilerplate lines, one that loses none as it is, a null too."""
+    row, kind = _whole(docs)
+    done = _cleaned(_pinned(docs, id_col, text_col, site, row), kind, min_sites)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=("doc_id", "text"))
-    return done.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    done = clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL_OP3 = f"""
@@ -87,8 +111,9 @@ FROM documents d LEFT JOIN k USING (doc_id)"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without boilerplate lines; one of which no word is left goes."""
-    done = clean(docs)
+    """The documents without boilerplate lines; one of which no word is left goes. All columns as they were, but text and n_chars of the documents that lose lines."""
+    row, kind = _whole(docs)
+    done = _cleaned(_pinned(docs, "doc_id", "text", None, row), kind, MIN_SITES)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(WORD)
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.filter(left).withColumn("n_chars", changed).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return done.filter(left).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

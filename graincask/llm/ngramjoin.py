@@ -6,33 +6,38 @@
 3. For the classes left, every shingle's document frequency is counted exactly and told to those that have it; shingles of one class only can't be shared,
    and a class with too few shared ones goes.
 4. Prefixes in rare-first order are indexed by shingle. In each posting list, every member is paired with the list's first class; pairs that pass the length, positional
-   and suffix filters are verified once, and verified links give components. This is linear in the postings, also where thousands are near copies of each other.
-5. Lists that still hold more than one component yield their other pairs across components, under the same filters, verified once. Pairs within a component can't change it. Long lists
+   and suffix filters are verified, and verified links give components. This is linear in the postings, also where thousands are near copies of each other.
+5. Lists that still hold more than one component yield their other pairs across components, under the same filters; what step 4 has verified is taken out, so that no pair is verified twice. Pairs within a component can't change it. Long lists
    are cut into blocks that are dealt out anew.
 
+The suffix filter bounds the overlap of two sets by their counts of shared elements in eight ranges of hashes, for all members of a list at once.
+Texts are read in place (see inplace): what is moved is hashes and the sets of classes that passed step 2.
+
 Defined results: words are lower-cased in A-Z. A text with fewer than five words has one shingle, all its words; a null or empty text has none and is linked with nothing.
-Repeated rows are linked with each other where they have words. A null id is larger than all ids (ids over 2^63 - 2^40 are taken as null) and comes out as null. Columns that aren't named in the call are not read. An empty table gives an empty one.
+Repeated rows are linked with each other where they have words. A null id is larger than all ids and comes out as null. Columns that aren't named in the call are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincask.llm import exchange as X
-from graincask.llm.common import few, n_tasks, settle, table, within
+from graincask.llm import inplace
+from graincask.llm.common import NOT_SEPARATOR, n_tasks, settle, table
 from graincask.llm.components import components
 from graincask.llm.words import WHITESPACE, Splitter, chunks, mix, valid_windows
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-NULLS = (1 << 63) - 1 - (1 << 40)
-BLOCK = 2048
+#: Members of a posting list that are paired at once, and rows whose sets are told frequencies together.
+BLOCK, SET_ROWS, SET_BITS = 2048, 2000, 5
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -65,18 +70,13 @@ def text_sets(split: Splitter, data: np.ndarray, offsets: np.ndarray, shingle: i
     return h[first], o[first]
 
 
-def _label(ids: Column, text: Column) -> Column:
-    """The id, or for null a number above all ids that depends on the text."""
-    return F.coalesce(ids.cast("long"), F.lit(NULLS + 1) + F.pmod(F.xxhash64(text), F.lit((1 << 40) - 1)))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _pinned(docs: DataFrame, id_col: str, text_col: str, *more) -> inplace.Pinned:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(_label(F.col(id_col), text).alias("label"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    return inplace.pinned(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"), *more))
 
 
-def measured(keyed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """label, row_key, and of the shingle set its size and two keys."""
+def measured(docs: inplace.Pinned, shingle: int = SHINGLE) -> DataFrame:
+    """part, id, row_key, and of the shingle set its size n and two keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(WHITESPACE, lower=True)
@@ -89,19 +89,34 @@ def measured(keyed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     who = first + o[at[:-1]]
                     sizes[who] = np.diff(at)
                     one[who], two[who] = np.add.reduceat(mix(h + np.uint64(1)), at[:-1]), np.add.reduceat(mix(h + np.uint64(2)), at[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sizes)], names=["label", "row_key", "key", "key2", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sizes)], names=["part", "id", "row_key", "key", "key2", "n"])
+
+    return docs.rows.select("part", "id", "row_key", "text").mapInArrow(run, "part int, id long, row_key long, key long, key2 long, n long")
 
-    return keyed.mapInArrow(run, "label long, row_key long, key long, key2 long, n long")
 
+def _first_of_each(batches: Iterator[pa.RecordBatch], filed: str) -> Iterator[tuple[int, int, pa.RecordBatch, np.ndarray]]:
+    """Batch number, part, and of each class that is filed for the part one row, with the class' node."""
+    at, classes, done = None, None, None
+    for number, part, batch in X.batches_of(batches, "row_key"):
+        if part != at:
+            at, classes = part, inplace.Told(filed, part, "key")
+            done = np.zeros(len(classes.names), bool)
+            nodes = classes.table.column("node").to_numpy() if classes.table is not None else np.empty(0, np.int64)
+        found = classes.find(batch.column(batch.schema.get_field_index("row_key")).to_numpy())
+        rows = np.flatnonzero(found >= 0)
+        rows = rows[~done[found[rows]]]
+        done[found[rows]] = True
+        yield number, part, batch.take(pa.array(rows)), nodes[found[rows]]
 
-def likely(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """row_key of the texts that share enough elements of their prefixes in hash order with other sets."""
-    n_buckets = X.n_buckets(keyed)
+
+def likely(docs: inplace.Pinned, filed: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """part, key (node) of the classes that share enough elements of their prefixes in hash order with other sets; filed: where one row_key and node per class is."""
+    n_buckets = X.n_buckets(docs.rows, docs.parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(WHITESPACE, lower=True)
-        for number, batch in X.batches_of(batches, "row_key"):
-            sets, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        for number, _, batch, nodes in _first_of_each(batches, filed):
+            sizes = np.zeros(batch.num_rows, np.int64)
             parts = []
             for first, _, data, offsets in chunks(batch, "text"):
                 h, o = text_sets(split, data, offsets, shingle)
@@ -109,55 +124,52 @@ def likely(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) ->
                     continue
                 at = X.runs(o)
                 size = np.diff(at)
-                who = first + o[at[:-1]]
-                sets[who], sizes[who] = np.add.reduceat(mix(h + np.uint64(1)), at[:-1]).view(np.int64), size
+                sizes[first + o[at[:-1]]] = size
                 rank, n = np.arange(len(h)) - np.repeat(at[:-1], size), np.repeat(size, size)
                 kept = rank < n - least_overlap(n, percent) + extra(n, percent)
                 parts.append((h[kept], first + o[kept]))
             if not parts:
                 continue
             h, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # a set that several texts of the batch have asks once
-            lead = np.zeros(batch.num_rows, bool)
-            lead[np.unique(sets, return_index=True)[1]] = True
-            yield X.table_row(n_buckets, number, sets, sizes)
-            yield from X.ask_shared(n_buckets, number, h[lead[owner]], owner[lead[owner]], np.zeros(int(lead[owner].sum()), np.uint32))
-
-    told = X.answer(keyed.select("row_key", "text").mapInArrow(ask, X.ROWS), X.shared, n_buckets)
-    shared = F.floor(F.sum(F.octet_length("spots")) / 4)
+            yield X.table_row(n_buckets, number, nodes, sizes)
+            yield from X.ask_shared(n_buckets, number, h, owner, np.zeros(len(h), np.uint32))
+
+    told = X.answer(docs.rows.select("part", "row_key", "text").mapInArrow(ask, X.ROWS), X.shared, n_buckets)
     m = f"(({percent} * label + 99) div 100)"  # the smallest partner's size
     need = F.expr(f"greatest(1, ((({percent} * {m} + 99) div 100) + 9) div 10)")
-    return told.groupBy("key", "label").agg(shared.alias("shared")).filter(F.col("shared") >= need).select("key").distinct()
+    return told.filter(F.floor(F.octet_length("spots") / 4) >= need).select("part", "key")
 
 
 _SETS = "gid long, label long, n long, elements binary"
 
 
-def sets_of(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """gid, label, n, elements (packed, sorted); gid groups some thousand neighbouring rows."""
+def sets_of(docs: inplace.Pinned, filed: str, near: str, shingle: int = SHINGLE) -> DataFrame:
+    """gid, label (node), n, elements (packed, sorted) of the classes whose node near has; gid groups some thousand neighbouring rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(WHITESPACE, lower=True)
-        for _, whole in X.batches_of(batches, "label"):
-            for s in range(0, whole.num_rows, 2000):
-                batch = whole.slice(s, 2000)
-                labels = batch.column(0).to_numpy(zero_copy_only=False)
-                gid = int(mix(labels[:1].astype(np.uint64))[0] >> np.uint64(1))
+        split, at, some = Splitter(WHITESPACE, lower=True), None, None
+        for number, part, every, names in _first_of_each(batches, filed):
+            if part != at:
+                at, some = part, inplace.Told(near, part, "key")
+            rows = np.flatnonzero(some.find(names) >= 0)
+            whole, nodes = every.take(pa.array(rows)), names[rows]
+            for s in range(0, whole.num_rows, SET_ROWS):
+                batch, labels = whole.slice(s, SET_ROWS), nodes[s : s + SET_ROWS]
                 sizes, blobs = np.zeros(len(labels), np.int64), [b""] * len(labels)
                 for first, _, data, offsets in chunks(batch, "text"):
                     h, o = text_sets(split, data, offsets, shingle)
-                    at = X.runs(o)
-                    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    edges = X.runs(o)
+                    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                         i = first + int(o[a])
                         sizes[i], blobs[i] = b - a, h[a:b].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(labels), gid)), batch.column(0), pa.array(sizes), pa.array(blobs, pa.binary())], names=["gid", "label", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(labels), (number << SET_BITS) + s // SET_ROWS)), pa.array(labels), pa.array(sizes), pa.array(blobs, pa.binary())], names=["gid", "label", "n", "elements"])
 
-    return texts.select("label", "text").mapInArrow(run, _SETS)
+    return docs.rows.select("part", "row_key", "text").mapInArrow(run, _SETS)
 
 
-def _frequencies(sets: DataFrame) -> DataFrame:
+def _frequencies(sets: DataFrame, parts: int) -> DataFrame:
     """gid, hashes, counts: document frequencies over 1 of the elements that rows of the gid have."""
-    n_buckets = X.n_buckets(sets)
+    n_buckets = X.n_buckets(sets, parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +198,7 @@ def _frequencies(sets: DataFrame) -> DataFrame:
 _RANKED = "label long, n long, elements binary, prefix binary, start long, quarters binary"
 
 
-def ranked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def ranked(sets: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
     """Classes that share enough elements: shared elements, rare-first prefix (from position start on, before it are elements of this class only) and counts of shared elements by hash range."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
@@ -212,7 +224,7 @@ def ranked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 out[k].append(v)
         return pa.table({k: pa.array(v, pa.binary() if k in ("elements", "prefix", "quarters") else pa.int64()) for k, v in out.items()})
 
-    return sets.groupBy("gid").cogroup(_frequencies(sets).groupBy("gid")).applyInArrow(run, _RANKED)
+    return sets.groupBy("gid").cogroup(_frequencies(sets, parts).groupBy("gid")).applyInArrow(run, _RANKED)
 
 
 _MEMBER = np.dtype([("label", "<i8"), ("group", "<i8"), ("n", "<u4"), ("at", "<u4"), ("quarters", "<u4", 8)])
@@ -228,9 +240,9 @@ def passing(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return ok & (np.minimum(x["quarters"], y["quarters"]).sum(axis=-1) >= need)
 
 
-def _postings(rows: DataFrame) -> DataFrame:
+def _postings(rows: DataFrame, parts: int) -> DataFrame:
     """rows: label, grp, n, prefix, start, quarters -> packed posting entries by bucket."""
-    n_buckets = X.n_buckets(rows)
+    n_buckets = X.n_buckets(rows, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +275,7 @@ def _pair_table(a: list[np.ndarray], b: list[np.ndarray], left: list[bytes], rig
     return pa.table({"a": pa.array([*x.tolist(), *[None] * len(left)], pa.int64()), "b": pa.array([*y.tolist(), *[None] * len(left)], pa.int64()), "left": pa.array([*blank, *left], pa.binary()), "right": pa.array([*blank, *right], pa.binary())})
 
 
-def candidates(rows: DataFrame, percent: int = PERCENT, *, across: bool = False) -> DataFrame:
+def candidates(rows: DataFrame, parts: int, percent: int = PERCENT, *, across: bool = False) -> DataFrame:
     """Pairs a < b. First every member with the first of its list; across: members of different groups, all but those pairs."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -299,7 +311,7 @@ def candidates(rows: DataFrame, percent: int = PERCENT, *, across: bool = False)
                             right.append(q.tobytes())
         return _pair_table(a, b, left, right)
 
-    found = _postings(rows).groupBy("bucket").applyInArrow(run, _PAIRS)
+    found = _postings(rows, parts).groupBy("bucket").applyInArrow(run, _PAIRS)
     if not across:
         return found.select("a", "b").distinct()
 
@@ -325,78 +337,98 @@ def _across(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.
 
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that are linked, by their shared elements."""
+    """The pairs with linked: whether they are, by their shared elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, ea, eb = (c.to_pylist() for c in batch.columns)
-            keep = []
+            linked = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 both = np.concatenate((np.frombuffer(ea[i], np.uint64), np.frombuffer(eb[i], np.uint64)))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (na[i] + nb[i] - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                linked[i] = 100 * shared >= percent * (na[i] + nb[i] - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
     one = rows.select(F.col("label").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     two = rows.select(F.col("label").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a long, b long")
-
-
-def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """label, row_key, n (shingles), component (a label) and root (its node, null without shingles) of every document; see _label."""
-    keyed = _keyed(docs, id_col, text_col)
-    rows = settle(measured(keyed, shingle))
-    classes = rows.filter("n > 0").groupBy("key", "key2").agg(F.min(F.struct("label", "row_key")).alias("rep"))
-    # a node is a class: its smallest id, or a hash where classes of different texts share that
-    named = classes.select("key", "key2", "rep.label", "rep.row_key")
-    shared_ids = settle(named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("label"))
-    unique = not shared_ids.limit(1).count()
-    if unique:
-        named = named.withColumn("node", F.col("label"))
-    else:
-        marked = named.join(shared_ids.withColumn("m", F.lit(True)), "label", "left")
-        named = marked.withColumn("node", F.when(F.col("m"), -1 - F.pmod(F.xxhash64("label", "key", "key2"), F.lit(1 << 62))).otherwise(F.col("label"))).drop("m")
-    first = settle(named)
-    once = keyed.join(F.broadcast(first.select("label", "row_key")), ["label", "row_key"], "left_semi") if few(first) else keyed
-    near = likely(once, percent, shingle).withColumnRenamed("key", "set_key")
-    reps = settle(first.join(near, first["key"] == near["set_key"], "left_semi").select("label", "row_key", "node"))
-    sets = settle(sets_of(within(keyed, reps, "row_key").join(reps, ["label", "row_key"]).select(F.col("node").alias("label"), "text"), shingle))
-    rank = settle(ranked(sets, percent))
-    star = settle(verified(candidates(rank.withColumn("grp", F.col("label")), percent), rank, percent))
-    found = components(star)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a long, b long, linked boolean")
+
+
+class Groups(NamedTuple):
+    """Settled frames: rows (part, id, row_key, key, key2, n), classes of equal sets (key, key2, m rows, and no_id, id, row_key, node, part of the smallest row) and the classes that links join (key, key2, root, best: the smallest row under the root)."""
+
+    rows: DataFrame
+    classes: DataFrame
+    linked: DataFrame
+
+
+_ROW = ("no_id", "id", "row_key", "node", "part")
+
+
+def groups(docs: inplace.Pinned, percent: int = PERCENT, shingle: int = SHINGLE) -> Groups:
+    rows = settle(measured(docs, shingle).withColumn("node", F.monotonically_increasing_id()))
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key", "node", "part")
+    by_set = rows.filter("n > 0").groupBy("key", "key2").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("m"))
+    classes = settle(by_set.select("key", "key2", "m", "r.*"))
+    filed = inplace.file_away(classes.select("part", F.col("row_key").alias("key"), "node"))
+    near = inplace.file_away(likely(docs, filed, percent, shingle))
+    sets = settle(sets_of(docs, filed, near, shingle))
+    inplace.delete(filed, near)
+    rank = settle(ranked(sets, docs.parts, percent))
+    star = settle(verified(candidates(rank.withColumn("grp", F.col("label")), docs.parts, percent), rank, percent))
+    links = star.filter("linked").select("a", "b")
+    found = components(links)
     grouped = rank.join(found.select(F.col("a").alias("label"), F.col("b").alias("c")), "label", "left").withColumn("grp", F.coalesce("c", "label"))
-    more = settle(verified(candidates(grouped, percent, across=True), rank, percent))
+    others = candidates(grouped, docs.parts, percent, across=True).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = settle(verified(others, rank, percent).filter("linked").select("a", "b"))
     final = components(found.union(more)) if more.limit(1).count() else found
-    # a set without elements has a key of its own: no hot key, no match
-    mine = rows.select("label", "row_key", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("label", "row_key")).alias("key"), F.when(F.col("n") > 0, F.col("key2")).otherwise(F.col("label")).alias("key2"))
-    rooted = first.join(final.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("key", "key2", "label", F.coalesce("root", "node").alias("root"))
-    if unique:
-        at = rooted.select("key", "key2", "root", F.col("root").alias("component"))
-    else:  # the smallest id of the component isn't its smallest node
-        at = rooted.join(rooted.groupBy("root").agg(F.min("label").alias("component")), "root").select("key", "key2", "root", "component")
-    return mine.join(at, ["key", "key2"], "left").select("label", "row_key", "n", F.coalesce("component", "label").alias("component"), "root")
+    members = final.select(F.col("a").alias("node"), F.col("b").alias("root")).union(final.select("b", F.col("b").alias("root")).distinct())
+    joined = settle(classes.join(members, "node").select("key", "key2", "root", F.struct(*_ROW).alias("r")))
+    best = joined.groupBy("root").agg(F.min("r").alias("best"))
+    return Groups(rows, classes, settle(joined.select("key", "key2", "root").join(best, "root")))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    real = lambda c: F.when(F.col(c) <= NULLS, F.col(c))
-    return placed(docs, id_col=id_col, text_col=text_col, percent=percent, shingle=shingle).select(real("label").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    found = groups(_pinned(docs, id_col, text_col), percent, shingle)
+    # a class of one text without links needs no look-up; a set without elements has a key of its own: no hot key, no match
+    told = found.classes.select("key", "key2", "m", "id").join(found.linked, ["key", "key2"], "left").filter("m > 1 OR root IS NOT NULL")
+    told = told.select("key", "key2", F.lit(True).alias("told"), F.when(F.col("root").isNotNull(), F.col("best.id")).otherwise(F.col("id")).alias("component"))
+    some = F.col("n") > 0
+    mine = found.rows.select("id", "n", F.when(some, F.col("key")).otherwise(F.col("node")).alias("key"), F.when(some, F.col("key2")).otherwise(F.lit(-1).cast("long")).alias("key2"))
+    out = mine.join(told, ["key", "key2"], "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("told"), F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id (of several with that id, one); all that are linked with nothing, empty ones too."""
-    at = settle(placed(docs, id_col=id_col, text_col=text_col, percent=percent).filter("label = component"))
-    one = at.filter("n > 0").groupBy("root").agg(F.min(F.struct("label", "row_key")).alias("r"), F.count(F.lit(1)).alias("rows")).select("r.label", "r.row_key", "rows")
-    keep = settle(one.select("label", "row_key", (F.col("rows") > 1).alias("repeated")).union(at.filter("n = 0").select("label", "row_key", F.lit(False)).distinct()))
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
-    text = F.coalesce(F.col("__t"), F.lit(""))
-    whole = whole.select("__row", _label(F.col("__i"), text).alias("label"), F.xxhash64(text).alias("row_key"))
-    kept = whole.join(F.broadcast(keep) if few(keep) else keep, ["label", "row_key"])
-    if keep.filter("repeated").limit(1).count():
-        kept = kept.filter("NOT repeated").unionByName(kept.filter("repeated").dropDuplicates(["label", "row_key"]))
-    return kept.select("__row.*")
+    """One document of each component, the one with the smallest id (of several rows with that id, one); all that have no words, for they are linked with nothing. Columns as they were, whatever their names."""
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(NOT_SEPARATOR)
+    whole = _pinned(docs, id_col, text_col, has_words.alias("words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = groups(whole, percent)
+    alone = found.classes.join(found.linked.select("key", "key2"), ["key", "key2"], "left_anti").select(*_ROW)
+    kept = alone.union(found.linked.select("root", "best").distinct().select("best.*"))
+    filed = inplace.file_away(kept.select("part", F.col("row_key").alias("key"), F.coalesce("id", F.lit(0)).alias("id"), F.col("no_id").cast("long").alias("no_id")))
+    kind = docs.schema.simpleString()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, told, done = None, None, None
+        for part, batch in inplace.by_part(batches):
+            if part != at:
+                at, told = part, inplace.Told(filed, part, "key", "id", "no_id")
+                done = np.zeros(len(told.names), bool)
+            ids = batch.column(batch.schema.get_field_index("id"))
+            keys = batch.column(batch.schema.get_field_index("row_key")).to_numpy()
+            at_row = told.find(keys, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            stay = ~batch.column(batch.schema.get_field_index("words")).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero((at_row >= 0) & ~stay)
+            _, first = np.unique(at_row[rows], return_index=True)
+            rows = rows[first][~done[at_row[rows[first]]]]
+            done[at_row[rows]] = True
+            stay[rows] = True
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")).filter(pa.array(stay))], names=["row"])
+
+    return whole.rows.select("part", "id", "row_key", "words", "row").mapInArrow(keep, f"row {kind}").select("row.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Substring deduplication by difference-cover anchors.
 
 A window is 50 words. A set of 6 residues modulo 31 meets every difference, so that two equal windows, wherever they start, have anchors (windows of
-20 words whose start is in the set modulo 31) at the same distance from their starts. First, anchors of all texts are exchanged and those that
-two different texts share are reported; then the 50-word windows around shared anchors alone are hashed, and a window is removed where a text with a smaller id has it.
-Copies of a whole text are settled by its hash. Both exchanges are packed (see exchange): a window that
-one third of all texts hold costs one entry per batch.
+20 words whose start is in the set modulo 31) at the same distance from their starts. Four passes over the same partitions, each of which is told what the one before found (see inplace):
 
-Defined results: a null or empty text has no words. A text of fewer words than a window loses none. Equal ids aren't smaller than each other: repeated
-rows stay or go together. A null id is larger than all others. Input columns other than id and text pass through untouched in apply(); an empty table gives an empty one.
+1. Whole texts: by 96 bits of hash and the id, a text that a smaller id has too is a copy and takes no further part.
+2. Anchors of the other texts are exchanged; those that two different texts share are told to their texts.
+3. Shared anchors are extended: every 50-word window that holds one is hashed (64 bits and a check of 32 more, by another polynomial) and exchanged; a window that a text with a smaller id has is told to its text.
+   The extension is by hash and not word by word along pairs, for a passage that one third of all texts hold would make pairs quadratic; here it costs one entry per batch.
+4. The told windows are cut.
+
+Only hashes are moved, at every size; texts stay where they are read.
+
+Defined results: a null or empty text has no words. A text of fewer words than a window loses none. Equal ids aren't smaller than each other: windows that only rows of one id have stay, whether the rows' texts are
+equal or not. A null id is larger than all others, and null ids are equal. Columns other than id and text are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,14 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincask.llm import exchange as X
-from graincask.llm.common import few, settle, table, within
-from graincask.llm.words import WHITESPACE, Splitter, chunks, valid_windows
+from graincask.llm import inplace
+from graincask.llm.common import table
+from graincask.llm.words import WHITESPACE, Splitter, chunks, mix, valid_windows
 
 WINDOW, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 LAST = (1 << 63) - 1
-#: Bytes of anchor places up to which they are sent to all tasks; beyond, they are joined.
-BROADCAST_BYTES = 16 << 20
 
 
 def covers(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> bool:
@@ -36,20 +40,48 @@ def covers(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _pinned(docs: DataFrame, id_col: str, text_col: str) -> inplace.Pinned:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("label"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"), text.alias("text"))
+    return inplace.pinned(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("label"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"), text.alias("text")))
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
 
 
-def shared_anchors(keyed: DataFrame) -> DataFrame:
-    """(key, label 0, spots): places of the anchors of a text that another text has too, or a copy of it in another batch."""
-    n = X.n_buckets(keyed)
+def copies(docs: inplace.Pinned) -> DataFrame:
+    """part, key, label, spots of the texts that a smaller label has too."""
+    n = X.n_buckets(docs.rows, docs.parts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, batch in X.batches_of(batches, "label", "key", "key2"):
+            keys, second, labels = _numbers(batch, "key", "key2", "label")
+            yield X.table_row(n, number, keys, labels)
+            each = np.arange(len(keys))
+            yield from X.ask_earlier(n, number, mix(keys.view(np.uint64)), second.view(np.uint64).astype(np.uint32), each, np.zeros(len(keys), np.uint32), labels)
+
+    return X.answer(docs.rows.select("part", "label", "key", "key2").mapInArrow(ask, X.ROWS), X.earlier, n)
+
+
+def _once(batches: Iterator[pa.RecordBatch], whole: str) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """The batches without the copies of whole texts."""
+    at, known = None, None
+    for number, part, batch in X.batches_of(batches, "label", "key", "key2"):
+        if part != at:
+            at, known = part, inplace.Told(whole, part, "key", "label")
+        yield number, part, batch.take(pa.array(np.flatnonzero(known.find(*_numbers(batch, "key", "label")) < 0)))
+
+
+def shared_anchors(docs: inplace.Pinned, whole: str) -> DataFrame:
+    """part, key, label, spots: places of the anchors that another text has too, of texts that are no copies (whole: where copies are filed)."""
+    n = X.n_buckets(docs.rows, docs.parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, in_cover = Splitter(WHITESPACE), np.isin(np.arange(PERIOD), COVER)
-        for number, batch in X.batches_of(batches, "key"):
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            yield X.table_row(n, number, keys, np.zeros(len(keys), np.int64))
+        for number, _, batch in _once(batches, whole):
+            if not batch.num_rows:
+                continue
+            yield X.table_row(n, number, *_numbers(batch, "key", "label"))
             parts = []
             for first, _, data, offsets in chunks(batch, "text"):
                 _, _, hashes, firsts = split.words(data, offsets)
@@ -58,129 +90,93 @@ def shared_anchors(keyed: DataFrame) -> DataFrame:
                 ok = valid_windows(firsts, ANCHOR)
                 ok = ok[in_cover[place[ok] % PERIOD]]
                 parts.append((split.windows(hashes, ANCHOR)[ok], np.repeat(np.arange(first, first + len(lengths)), lengths)[ok], place[ok]))
-            hashes, owners, spots = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from X.ask_shared(n, number, hashes, owners, spots)
+            yield from X.ask_shared(n, number, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return X.answer(keyed.select("key", "text").mapInArrow(ask, X.ROWS), X.shared, n)
+    return X.answer(docs.rows.mapInArrow(ask, X.ROWS), X.shared, n)
 
 
-def repeated_windows(candidates: DataFrame) -> DataFrame:
-    """(key, label, spots): starts of the windows of a text that a text with a smaller label has too.
-
-    candidates: label, key, key2, text and anchors (list of places, packed). An id may have several texts, and null ids are one label.
-    """
-    n = X.n_buckets(candidates)
+def repeated_windows(docs: inplace.Pinned, whole: str, anchors: str) -> DataFrame:
+    """part, key, label, spots: starts of the windows that a text with a smaller label has too. Whole and anchors: where copies and shared anchors are filed."""
+    n = X.n_buckets(docs.rows, docs.parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(WHITESPACE)
-        for number, batch in X.batches_of(batches, "label", "key", "key2"):
-            keys, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        split, at, places = Splitter(WHITESPACE), None, None
+        for number, part, batch in _once(batches, whole):
+            if part != at:
+                at, places = part, inplace.Told(anchors, part, "key", "label")
+            found = places.find(*_numbers(batch, "key", "label"))
+            batch, found = batch.take(pa.array(np.flatnonzero(found >= 0))), found[found >= 0]
+            if not batch.num_rows:
+                continue
+            keys, labels = _numbers(batch, "key", "label")
             yield X.table_row(n, number, keys, labels)
-            anchors = batch.column(3).to_pylist()
+            spots = places.table.column("spots")
             parts = []
             for first, end, data, offsets in chunks(batch, "text"):
                 _, _, hashes, firsts = split.words(data, offsets)
                 lengths = np.diff(firsts)
                 near = np.zeros(firsts[-1] + 1, np.int32)
                 for i in range(first, end):
-                    p = np.unique(np.frombuffer(b"".join(anchors[i]), np.uint32)).astype(np.int64)
+                    p = np.unique(np.frombuffer(spots[int(found[i])].as_py(), np.uint32)).astype(np.int64)
                     base = firsts[i - first]
                     np.add.at(near, base + np.maximum(p - (PERIOD - 1), 0), 1)
                     np.add.at(near, base + p + 1, -1)
                 ok = valid_windows(firsts, WINDOW)
                 ok = ok[np.cumsum(near)[ok] > 0]
                 place = np.arange(firsts[-1]) - np.repeat(firsts[:-1], lengths)
-                parts.append((split.windows(hashes, WINDOW)[ok], np.repeat(np.arange(first, end), lengths)[ok], place[ok]))
-            hashes, owners, spots = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(hashes):
-                continue
-            order = np.argsort(hashes, kind="stable")
-            at, marks = X.runs(hashes[order]), labels[owners]
-            least = np.empty(len(hashes), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(marks[order], at[:-1]), np.diff(at))
-            gone = marks > least
-            if gone.any():
-                yield X.known_row(n, number, owners[gone], spots[gone])
-            yield X.ask_rows(n, number, hashes[~gone], owners[~gone], spots[~gone], marks[~gone])
-
-    def later(e: X.Entries) -> np.ndarray:
-        out = np.zeros(len(e.hashes), bool)
-        if len(out):
-            order = np.argsort(e.hashes, kind="stable")
-            at = X.runs(e.hashes[order])
-            out[order] = e.marks[order] > np.repeat(np.minimum.reduceat(e.marks[order], at[:-1]), np.diff(at))
-        return out
-
-    return X.answer(candidates.select("key", "label", "text", "anchors", "key2").mapInArrow(ask, X.ROWS), later, n)
-
-
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and a row per text key that loses words: copies (key2 and smallest label of equal texts), windows (label and packed starts).
-
-    Both are arrays of one entry, but for texts of different content with the same key.
-    """
-    keyed = _keyed(docs, id_col, text_col)
-    copies = settle(keyed.groupBy("key", "key2").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").drop("last"))
-    # of equal texts the one with the smallest id stands for all
-    once = keyed.join(F.broadcast(copies) if few(copies) else copies, ["key", "key2"], "left").filter("first IS NULL OR label = first").drop("first")
-    anchors = settle(shared_anchors(once).groupBy("key").agg(F.collect_list("spots").alias("anchors")))
-    size = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
-    near = F.broadcast(anchors) if size <= BROADCAST_BYTES else anchors
-    # equal rows of one id and text are searched once a batch or are harmless: they aren't smaller than each other
-    texts = within(once, anchors, "key").join(near, "key")
-    windows = repeated_windows(settle(texts))
-    by_key = windows.groupBy("key", "label").agg(F.collect_list("spots").alias("starts")).groupBy("key").agg(F.collect_list(F.struct("label", "starts")).alias("windows"))
-    return keyed, settle(copies.groupBy("key").agg(F.collect_list(F.struct("key2", "first")).alias("copies")).join(by_key, "key", "full"))
-
-
-def kept_words(rows: DataFrame, *, with_text: bool = True) -> DataFrame:
-    """rows: label, text, starts, whole -> label, n_words, n_removed, kept_sha256 and the kept words joined by one space."""
+                check = split.windows(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
+                parts.append((split.windows(hashes, WINDOW)[ok], check[ok].astype(np.uint32), np.repeat(np.arange(first, end), lengths)[ok], place[ok]))
+            hashes, checks, owners, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from X.ask_earlier(n, number, hashes, checks, owners, starts, labels[owners])
+
+    return X.answer(docs.rows.mapInArrow(ask, X.ROWS), X.earlier, n)
+
+
+def removals(docs: inplace.Pinned) -> tuple[str, str]:
+    """Where copies of whole texts and the starts of repeated windows are filed."""
+    whole = inplace.file_away(copies(docs))
+    anchors = inplace.file_away(shared_anchors(docs, whole))
+    windows = inplace.file_away(repeated_windows(docs, whole, anchors))
+    inplace.delete(anchors)
+    return whole, windows
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless asked for: the kept words joined by one space) of every document."""
+    rows = _pinned(docs, id_col, text_col)
+    whole, windows = removals(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(WHITESPACE)
-        for batch in batches:
-            labels, starts, whole = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        split, at, gone, told = Splitter(WHITESPACE), None, None, None
+        for part, batch in inplace.by_part(batches):
+            if part != at:
+                at, gone, told = part, inplace.Told(whole, part, "key", "label"), inplace.Told(windows, part, "key", "label")
+            keys, labels = _numbers(batch, "key", "label")
+            copy, starts = gone.find(keys, labels) >= 0, told.find(keys, labels)
             out: list[tuple] = []
             for first, end, data, offsets in chunks(batch, "text"):
                 w_start, w_end, _, firsts = split.words(data, offsets, hashed=False)
                 raw = data.tobytes()
-                # in the whole chunk, each separator run becomes one space; a text is then a slice of its words
                 for i in range(first, end):
                     a, b = firsts[i - first], firsts[i - first + 1]
-                    n, gone = int(b - a), 0
-                    text = raw[offsets[i - first] : offsets[i - first + 1]]
-                    if whole[i] and n >= WINDOW:
-                        kept, gone = b"", n
-                    elif starts[i]:
-                        p = np.unique(np.frombuffer(b"".join(starts[i]), np.uint32)).astype(np.int64)
+                    n, lost = int(b - a), 0
+                    if copy[i] and n >= WINDOW:
+                        kept, lost = b"", n
+                    elif starts[i] >= 0:
+                        p = np.unique(np.frombuffer(told.table.column("spots")[int(starts[i])].as_py(), np.uint32)).astype(np.int64)
                         edges = np.zeros(n + WINDOW + 1, np.int32)
                         edges[p] += 1
                         edges[p + WINDOW] -= 1
                         stay = np.flatnonzero(np.cumsum(edges)[:n] == 0)
-                        gone = n - len(stay)
+                        lost = n - len(stay)
                         kept = b" ".join([raw[s:e] for s, e in zip(w_start[a:b][stay].tolist(), w_end[a:b][stay].tolist(), strict=True)])
                     else:
-                        kept = b" ".join(text.split())
-                    out.append((labels[i], n, gone, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                        kept = b" ".join(raw[offsets[i - first] : offsets[i - first + 1]].split())
+                    out.append((int(labels[i]), n, lost, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary()).cast(pa.string())], names=["label", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return rows.select("label", "text", "starts", "whole").mapInArrow(cut, "label long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-
-
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of every document."""
-    keyed, losing = removals(docs, id_col=id_col, text_col=text_col)
-    if few(losing):  # texts that lose nothing aren't moved
-        some = keyed.join(F.broadcast(losing.select("key")), "key", "left_semi").join(losing, "key")
-        none = keyed.join(F.broadcast(losing.select("key")), "key", "left_anti")
-        both = some.unionByName(none, allowMissingColumns=True)
-    else:
-        both = keyed.join(losing, "key", "left")
-    starts = F.flatten(F.transform(F.filter("windows", lambda w: w["label"] == F.col("label")), lambda w: w["starts"]))
-    whole = F.exists("copies", lambda c: (c["key2"] == F.col("key2")) & (c["first"] < F.col("label")))
-    rows = both.select("label", "text", starts.alias("starts"), F.coalesce(whole, F.lit(False)).alias("whole"))
-    out = kept_words(rows, with_text=with_text)
+    out = rows.rows.mapInArrow(cut, "label long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.when(F.col("label") != LAST, F.col("label")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 

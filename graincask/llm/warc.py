@@ -4,7 +4,7 @@ and a reader that sorts the wanted records by place and coalesces neighbouring b
 Of records with equal payloads of at least min_revisit_bytes, the one with the smallest id is a response and the
 others are revisits of it. Writers make one archive per task under a name of its own in the shared folder; the index,
 which is the tasks' output, names only archives of attempts that succeeded, so a lost executor leaves at worst an
-unnamed file. No page goes through a shuffle: only digests are aggregated.
+unnamed file. No page goes through a shuffle: only digests are aggregated, and what a part's pages refer to is told in place (see inplace).
 
 Defined results: a null payload is an empty one. A null url is written as an empty target. Ids that repeat with the
 smallest id's payload are responses, each; a null id is a response unless a smaller id has the payload, nulls being larger
@@ -18,49 +18,63 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincask.llm.common import n_tasks, settle, shared_dir, table
+from graincask.llm import inplace
+from graincask.llm.common import n_tasks, settle, table
+from graincask.llm.inplace import filesystem as _filesystem
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A writer starts another archive after so many compressed bytes.
 ARCHIVE_BYTES = 1 << 30
 #: Ranges in one archive that lie at most so far apart are read at once, up to so many bytes.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
-#: Rows of repeated digests up to which they are sent to all tasks (about 100 bytes each); beyond, they are joined.
-BROADCAST_ROWS = 50_000
 
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1, from five hexadecimal digits at a time."""
-    code = F.sha1(payload)
+class Resolved(NamedTuple):
+    """Pages (part, page_id, url, payload, digest as hexadecimal SHA-1 and as three numbers), and where the first id of digests of several pages is filed."""
 
-    def letters(i: Column) -> Column:
-        n = F.conv(F.substring(code, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(ALPHABET), F.shiftright(n, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
+    pages: inplace.Pinned
+    filed: str
+    min_revisit_bytes: int
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
 
+_DIGEST = ("d0", "d1", "d2")
 
-def resolve(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), digest, record_type, refers_to of every row."""
+
+def resolve(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> Resolved:
+    """Finds the smallest id of each payload that several pages have."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= min_revisit_bytes
-    repeated = settle(rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first_id IS NOT NULL").drop("n"))
-    small = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = rows.join(F.broadcast(repeated) if small else repeated, "digest", "left")
-    revisit = F.col("first_id").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return both.select(
-        "page_id", "url", "payload", base32_sha1(F.col("payload")).alias("digest"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"),
-    )
+    number = lambda start, length: F.conv(F.substring("digest", start, length), 16, 10).cast("long")
+    given = inplace.pinned(rows.withColumns(dict(zip(_DIGEST, (number(1, 15), number(16, 15), number(31, 10)), strict=True))))
+    large = given.rows.filter(F.octet_length("payload") >= min_revisit_bytes)
+    by_part = settle(large.groupBy("part", *_DIGEST).agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    first = by_part.groupBy(*_DIGEST).agg(F.min("low").alias("first_id"), F.sum("n").alias("n")).filter("n > 1 AND first_id IS NOT NULL").drop("n")
+    return Resolved(given, inplace.file_away(by_part.join(first, list(_DIGEST)).select("part", *_DIGEST, "first_id")), min_revisit_bytes)
+
+
+def records(batches: Iterator[pa.RecordBatch], filed: str, least: int) -> Iterator[dict]:
+    """The records of a task's pages, one after another: page_id, url, payload, digest (base32), record_type, refers_to."""
+    at, told = None, None
+    for part, batch in inplace.by_part(batches, 256):
+        if part != at:
+            at, told = part, inplace.Told(filed, part, *_DIGEST)
+            firsts = told.table.column("first_id").to_pylist() if told.table is not None else []
+        found = told.find(*(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in _DIGEST))
+        for r, f in zip(batch.to_pylist(), found.tolist(), strict=True):
+            first = firsts[f] if f >= 0 and len(r["payload"]) >= least else None
+            revisit = first is not None and r["page_id"] != first
+            yield {
+                "page_id": r["page_id"], "url": r["url"], "payload": r["payload"], "digest": base64.b32encode(bytes.fromhex(r["digest"])).decode(),
+                "record_type": "revisit" if revisit else "response", "refers_to": first if revisit else None}
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -94,47 +108,38 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _filesystem(folder: str):
-    """The file system of a folder, and the folder's path there."""
-    from pyarrow import fs
-
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    if "://" in folder:
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
-
-
-def write(resolved: DataFrame, folder: str, *, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write(resolved: Resolved, folder: str, *, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes one gzip member per record into archives in folder; returns the index, settled."""
 
+    filed, least = resolved.filed, resolved.min_revisit_bytes
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = _filesystem(folder)
         where.create_dir(path, recursive=True)
-        out, name, at = None, "", 0
+        out, name, at, index = None, "", 0, []
         try:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    rows = batch.slice(start, 256).to_pylist()
-                    index = []
-                    for r in rows:
-                        if out is None or at >= ARCHIVE_BYTES:
-                            if out is not None:
-                                out.close()
-                            name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                            out = where.open_output_stream(f"{path}/{name}", compression=None)
-                            out.write(member := _gzip(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <{uuid.uuid4().urn}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()))
-                            at += len(member)
-                        member = _gzip(record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], r["record_type"], r["refers_to"], date))
-                        out.write(member)
-                        index.append({"page_id": r["page_id"], "url": r["url"], "record_type": r["record_type"], "refers_to": r["refers_to"], "payload_bytes": len(r["payload"]), "payload_digest": r["digest"], "archive": f"{folder}/{name}", "offset": at, "length": len(member)})
-                        at += len(member)
+            for r in records(batches, filed, least):
+                if out is None or at >= ARCHIVE_BYTES:
+                    if out is not None:
+                        out.close()
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = where.open_output_stream(f"{path}/{name}", compression=None)
+                    out.write(member := _gzip(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <{uuid.uuid4().urn}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()))
+                    at += len(member)
+                member = _gzip(record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], r["record_type"], r["refers_to"], date))
+                out.write(member)
+                index.append({"page_id": r["page_id"], "url": r["url"], "record_type": r["record_type"], "refers_to": r["refers_to"], "payload_bytes": len(r["payload"]), "payload_digest": r["digest"], "archive": f"{folder}/{name}", "offset": at, "length": len(member)})
+                at += len(member)
+                if len(index) >= 256:
                     yield pa.RecordBatch.from_pylist(index, _INDEX_ARROW)
+                    index = []
+            if index:
+                yield pa.RecordBatch.from_pylist(index, _INDEX_ARROW)
         finally:
             if out is not None:
                 out.close()
 
-    return settle(resolved.mapInArrow(put, INDEX))
+    return settle(resolved.pages.rows.select("part", "page_id", "url", "payload", "digest", *_DIGEST).mapInArrow(put, INDEX))
 
 
 _INDEX_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -197,12 +202,12 @@ def read(index: DataFrame, *, with_payload: bool = True) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    out = settle(read(write(resolve(table(spark, sf_dir, "pages")), folder), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    where, path = _filesystem(folder)  # the query keeps digests only
-    if where.get_file_info(path).type.name == "Directory":
-        where.delete_dir(path)
-    return out
+    pages = table(spark, sf_dir, "pages")
+    folder = inplace.new_folder(pages, "warc")
+    try:
+        return settle(read(write(resolve(pages), folder), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:  # the query keeps digests only
+        inplace.delete(folder)
 
 
 SQL_OP2 = f"""

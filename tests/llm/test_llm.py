@@ -39,7 +39,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "one"),
 @pytest.fixture(scope="module")
 def odd(spark):
     # columns whose names clash with those that operators make
-    return docs_of(spark, ODD).withColumns({c: F.lit("clash") for c in ("n_words", "key", "label", "kept", "shard", "fail_bits", "places", "h1", "starts", "items", "found", "sha", "size", "n", "first", "__q")})
+    return docs_of(spark, ODD).withColumns({c: F.lit("clash") for c in ("n_words", "key", "label", "kept", "shard", "fail_bits", "places", "h1", "starts", "items", "found", "sha", "size", "n", "first", "__q", "part", "row", "node", "words", "site", "cut", "n_lines", "n_removed", "place", "line", "id", "row_key", "__row", "__old", "key2", "route", "cell", "score", "predicted", "digest")})
 
 
 @pytest.fixture(scope="module")
@@ -145,7 +145,8 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_small_payloads_are_responses(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "page_id long, url string, html string")
-    assert {r["record_type"] for r in warc.resolve(df, min_revisit_bytes=2).collect()} == {"response"}
+    index = warc.write(warc.resolve(df, min_revisit_bytes=2), f"file:{tmp_path}/w")
+    assert {r["record_type"] for r in index.collect()} == {"response"}
 
 
 def test_warc_empty(spark, tmp_path):
@@ -168,6 +169,7 @@ def test_lines_by_sites(spark, odd, empty):
     assert "boilerplate" in got[0] and all("boilerplate" not in got[i] and got[i].endswith("\nok") for i in range(1, 30))
     assert all("few sites" in got[50 + i] for i in range(30))
     assert sorted(map(repr, rows(linededup.clean(odd).select("doc_id", "text")))) == sorted(map(repr, ODD))
+    assert sorted(linededup.clean(odd).columns) == sorted(odd.columns) and linededup.clean(odd).filter("n_removed <> 0").count() == 0
     assert linededup.clean(empty).count() == 0
 
 
