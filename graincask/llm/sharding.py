@@ -1,84 +1,109 @@
-"""Vector bin packing of documents into shards that balance bytes, words and rows jointly.
+"""Vector bin packing of documents into shards that balance bytes, tokens and rows jointly.
 
-Equal texts form a group and stay in one shard. Groups are hashed into cells, whose number depends only on the number of
-shards; a group that alone holds more than a small part of any total (of which there can only be a bounded
-number) is a unit of its own. Units go, largest first, to the shard with room for them whose residual capacity has the highest
-dot product with their size vector. Only units are planned on the driver: at most CELLS + 3 * HEAVY per shard, whatever the
-input. A group larger than a shard's fair share can't stay whole without breaking the balance: it is cut into parts by id.
+Equal texts form a group and stay in one shard. Each group goes, largest first, to the shard with room for it whose residual capacity has the highest dot product with the group's size vector.
+A group that alone holds over 1 / (shards * HEAVY) of any total, of which there are at most 3 * shards * HEAVY, is placed on the driver first. What capacity is left is shared out to cells, by hash of the group, of CELL_ROWS rows but no more than there are
+shuffle partitions; each cell packs its own groups one by one into its part of every shard's capacity, so the whole is as balanced as its cells, and no list of groups is gathered anywhere.
+A group larger than a shard's fair share can't stay whole without breaking the balance: it is cut into equal parts. Rows of heavy groups are dealt to the cells like any others, so no task has a hot group.
+
+Tokens are counted by a fixed rule instead of a tokenizer's run over all texts: an ASCII letter run counts one per six letters begun, other ASCII marks and digits one each, other characters one per two begun.
 
 Defined results: a null text is none, of size 1 and checksum 0, and equal to the empty text. Repeated rows are rows of one group, each with its own
-slot. A null id is placed like any other. Equal ids of a group that must be cut stay in one part. An empty table gives an empty result.
+slot. A null id is placed like any other. An empty table gives an empty result. Columns that aren't named in the call are not read.
 """
 
 from __future__ import annotations
 
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graincask.llm.common import settle, table
+from graincask.llm.common import n_tasks, settle, table
 
-#: Cells of light groups, and the part of a shard's fair share above which a group is heavy, per shard.
-CELLS, HEAVY = 512, 64
-SIZES = ("bytes", "words", "n_rows")
+#: The part of a shard's fair share above which a group is heavy, and the parts of a share that a group which must be cut is cut into.
+HEAVY, PARTS = 64, 8
+#: Rows per cell; with more cells than shuffle partitions, a cell gets more. Few cells balance small inputs better.
+CELL_ROWS = 10_000
+SIZES = ("bytes", "tokens", "n_rows")
+TOKEN = r"[A-Za-z]{1,6}|[^\x00-\x7F]{1,2}|[\x21-\x40\x5B-\x60\x7B-\x7E]"
 
 
-def place(units: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each unit; units: a row of bytes, words, rows each. Greedy by dot product with the residual capacity.
+def place(units: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Shard of each unit; units: a row of bytes, tokens, rows each; left: the same capacities per shard, which are taken from. Greedy by dot product with the residual capacity.
 
     The first column is held to: among the shards that a unit fits, the dot product decides; if it fits none, the shard with most room for bytes takes it.
     """
-    total = units.sum(axis=0)
-    share = units / np.maximum(total, 1) * shards  # 1: a shard's fair part
-    left = np.ones((shards, units.shape[1]))
+    scale = np.maximum(left.sum(axis=0) / len(left), 1e-9)  # 1: a shard's fair part
+    share, room = units / scale, left / scale
     out = np.zeros(len(units), np.int32)
-    for i in np.lexsort((np.arange(len(units)), -share.max(axis=1))):
-        fits = left[:, 0] >= share[i, 0]
-        score = left @ share[i] if fits.any() else left[:, 0]
-        out[i] = k = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
-        left[k] -= share[i]
+    for i in np.lexsort((np.arange(len(units)), -share.max(axis=1, initial=0))).tolist():
+        mine, bytes_left = share[i], room[:, 0]
+        k = int(bytes_left.argmax())
+        if bytes_left[k] >= mine[0]:
+            k = int(np.where(bytes_left >= mine[0], room @ mine, -np.inf).argmax())
+        out[i] = k
+        room[k] -= mine
+    left[:] = room * scale
     return out
 
 
-def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
-    """Per row: id, size, words, crc, group digest and cell. Settled, without texts."""
+def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, size, tokens, crc, group digest and a number of its own. Settled, without texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest"),
+        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("tokens"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.monotonically_increasing_id().alias("row"),
     )
-    return settle(rows.withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(shards * CELLS)).cast("int")))
+    return settle(rows)
+
+
+_PLACED = "doc_id long, size long, text_crc32 long, cell int, shard int, rank long"
 
 
 def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (gapless from 0 within the shard) and the unit that the row came in."""
+    """doc_id, size, text_crc32, shard, slot (gapless from 0 within the shard)."""
     spark = docs.sparkSession
-    rows = measure(docs, id_col=id_col, text_col=text_col, shards=shards)
-    total = rows.agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_rows")).first()
+    rows = measure(docs, id_col=id_col, text_col=text_col)
+    sums = (F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
+    total = rows.agg(*sums).first()
     if not total["n_rows"]:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("unit"))
-    sums = (F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_rows"))
-    # heavy: over 1 / (shards * HEAVY) of a total, so at most 3 * shards * HEAVY groups
-    heavy = [F.col(c) * (shards * HEAVY) > total[c] for c in SIZES if total[c]]
-    by_group = rows.groupBy("cell", "digest").agg(*sums).withColumn("heavy", F.greatest(*[h.cast("int") for h in heavy]) == 1 if len(heavy) > 1 else heavy[0])
-    heavy_groups = [r.asDict() for r in by_group.filter((F.col("n_rows") > 1) & F.col("heavy")).collect()]
-    # a group over a shard's fair share is cut into parts of at most 1 / 8 of it
-    for g in heavy_groups:
-        over = max(g[c] * shards / total[c] for c in SIZES if total[c])
-        g["parts"] = 1 if over <= 1 else int(np.ceil(over * 8))
-    plan = spark.createDataFrame(pa.table({"digest": pa.array([bytes(g["digest"]) for g in heavy_groups], pa.binary()), "heavy_no": pa.array(range(len(heavy_groups)), pa.int32()), "parts": pa.array([g["parts"] for g in heavy_groups], pa.int32())}))
-    part = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.col("parts")).cast("int")
-    united = rows.join(F.broadcast(plan), "digest", "left").select("doc_id", "size", "words", "text_crc32", F.coalesce(F.lit(shards * CELLS) + F.col("heavy_no"), F.col("cell")).alias("base"), F.coalesce(part, F.lit(0)).alias("part"))
-    units = united.groupBy("base", "part").agg(*sums).orderBy("base", "part").toPandas()
-    units["shard"] = place(units[list(SIZES)].to_numpy(float), shards)
-    units["before"] = units.groupby("shard")["n_rows"].cumsum() - units["n_rows"]
-    units["unit"] = np.arange(len(units), dtype=np.int32)
-    placed = spark.createDataFrame(pa.Table.from_pandas(units[["base", "part", "shard", "before", "unit"]], preserve_index=False))
-    both = united.join(F.broadcast(placed), ["base", "part"])
-    rank = F.row_number().over(W.partitionBy("unit").orderBy("doc_id", "size", "text_crc32"))
-    return both.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + rank - 1).cast("long").alias("slot"), "unit")
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    left = np.array([[total[c] / shards for c in SIZES]] * shards, float)
+    over = F.greatest(F.lit(0.0), *[F.col(c) * shards / F.lit(total[c]) for c in SIZES if total[c]])  # in shares of a shard
+    heavy = rows.groupBy("digest").agg(*sums).withColumn("over", over).filter(F.col("over") * HEAVY > 1)
+    groups = [(bytes(r["digest"]), 1 if r["over"] <= 1 else int(np.ceil(r["over"] * PARTS))) for r in heavy.select("digest", "over").collect()]
+    plan = spark.createDataFrame(pa.table({"digest": pa.array([d for d, _ in groups], pa.binary()), "heavy": pa.array(range(len(groups)), pa.int32()), "parts": pa.array([n for _, n in groups], pa.int32())}))
+    marked = rows.join(F.broadcast(plan), "digest", "left").withColumn("cut", F.pmod("row", "parts").cast("int"))
+    units = marked.filter("heavy IS NOT NULL").groupBy("heavy", "cut").agg(*sums).orderBy("heavy", "cut").toPandas()
+    units["given"] = place(units[list(SIZES)].to_numpy(float), left)
+    given = spark.createDataFrame(pa.table({c: pa.array(units[c].to_numpy(np.int32)) for c in ("heavy", "cut", "given")}))
+    cells = max(1, min(n_tasks(rows), total["n_rows"] // CELL_ROWS))
+    cell = F.pmod(F.when(F.col("heavy").isNull(), F.xxhash64("digest")).otherwise(F.xxhash64("row")), F.lit(cells)).cast("int")
+    dealt = marked.join(F.broadcast(given), ["heavy", "cut"], "left").select("doc_id", "size", "tokens", "text_crc32", "digest", "given", cell.alias("cell"))
+    residual = np.maximum(left, 0)
+    residual /= np.maximum(residual.sum(axis=0), 1e-9)
+
+    def pack(t: pa.Table) -> pa.Table:
+        given = t.column("given").combine_chunks()
+        out = given.fill_null(-1).to_numpy().copy()
+        light = np.flatnonzero(out < 0)
+        if len(light):
+            group, names = pd.factorize(t.column("digest").take(pa.array(light)).to_pandas())
+            size, tokens = (t.column(c).to_numpy()[light] for c in ("size", "tokens"))
+            vectors = np.stack([np.bincount(group, x, len(names)) for x in (size, tokens, np.ones(len(light)))], 1)
+            out[light] = place(vectors, residual * vectors.sum(axis=0))[group]
+        order = np.argsort(out, kind="stable")
+        rank = np.empty(len(out), np.int64)
+        rank[order] = np.arange(len(out)) - np.searchsorted(out[order], out[order])
+        return t.select(["doc_id", "size", "text_crc32", "cell"]).append_column("shard", pa.array(out, pa.int32())).append_column("rank", pa.array(rank))
+
+    placed = settle(dealt.groupBy("cell").applyInArrow(pack, _PLACED))
+    counts = placed.groupBy("cell", "shard").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["shard", "cell"])  # shards * cells rows at most
+    counts["before"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
+    offsets = spark.createDataFrame(pa.Table.from_pandas(counts[["cell", "shard", "before"]], preserve_index=False))
+    return placed.join(F.broadcast(offsets), ["cell", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
