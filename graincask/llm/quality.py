@@ -6,8 +6,8 @@ reads a text again. Everything is a DataFrame expression; there is no shuffle, s
 
 Defined results: a null or empty text has no words, fails the rule of few words and is not kept. Repeated rows give
 repeated rows; a null doc_id stays null. Columns other than the id and the text pass through only where
-asked for, and names that clash with the ledger's are dropped from the input first. An empty table gives
-an empty ledger.
+asked for; of those, columns with a name of the ledger's own (measurements, fail_bits, kept) are left out. stage() keeps
+all columns, whatever their names. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -71,25 +71,30 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
     )
 
 
-def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, measurements (long) and fail_bits (long; bit k is set where the k-th rule fails)."""
+def measured(docs: DataFrame, row: Column, text_col: str = "text") -> DataFrame:
+    """row, measurements (long) and fail_bits (long; bit k is set where the k-th rule fails)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SEPARATOR))
-    first = docs.select(F.col(id_col), *keep, text.alias("__t"), words_of(text).alias("__w"), lines.alias("__l"))
-    measured = first.select(
-        id_col,
-        *keep,
-        F.size("__w").cast("long").alias("n_words"),
-        F.aggregate("__w", F.lit(0), lambda a, w: a + F.length(w)).cast("long").alias("word_chars"),
-        F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).cast("long").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
-        F.regexp_count("__t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-        F.regexp_count("__t", F.lit("!+")).cast("long").alias("n_exclaims"),
+    first = docs.select(row.alias("row"), text.alias("t"), words_of(text).alias("w"), lines.alias("l"))
+    found = first.select(
+        "row",
+        F.size("w").cast("long").alias("n_words"),
+        F.aggregate("w", F.lit(0), lambda a, w: a + F.length(w)).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
+        F.size("l").cast("long").alias("n_lines"),
+        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit("!+")).cast("long").alias("n_exclaims"),
     )
     bits = sum((F.when(F.expr(test), F.lit(BIT[name])).otherwise(F.lit(0)) for name, test in RULES.items()), F.lit(0))
-    return measured.withColumn("fail_bits", bits.cast("long"))
+    return found.withColumn("fail_bits", bits.cast("long"))
+
+
+def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, measurements and fail_bits."""
+    own = [id_col, *(c for c in keep if c not in (*MEASURES, "fail_bits", "kept", id_col))]
+    return measured(docs, F.struct(*[F.col(f"`{c}`") for c in own]), text_col).select("row.*", *MEASURES, "fail_bits")
 
 
 def apply_policy(ledger_df: DataFrame, policy: str) -> DataFrame:
@@ -127,8 +132,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Measured by the text itself, so that the decision needs no join back to the documents.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id"), F.col("text"))
-    return apply_policy(ledger(whole, keep=("__row",)), "web/1").filter("kept").select("__row.*")
+    return apply_policy(measured(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "web/1").filter("kept").select("row.*")
 
 
 def measures_sql(docs: str = "documents") -> str:
