@@ -1,8 +1,8 @@
 """Secret scans: candidate spans per text, and how widely over owners each candidate's hash is spread.
 
 A candidate's value goes no further than its SHA-256. The hashes are aggregated by distinct repositories and
-owners: a value that many owners hold is a copied example, a value of one or two owners that also looks
-random is treated as live. Spans are found within the row: a regular expression splits the text into gaps
+owners: a value that many owners hold, or very many repositories of fewer owners, is a copied example; any other value that also looks
+random is treated as its owner's and live. Spans are found within the row: a regular expression splits the text into gaps
 and matches, whose lengths add up to code-point positions. Everything is DataFrame functions.
 
 Defined results: a null or empty text has no spans. Repeated rows give repeated rows. A null owner or
@@ -30,8 +30,8 @@ KINDS = (
     ("keyblock", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
 )
 BASE = 3
-#: From so many distinct owners on, a value is a copied example.
-COPIED_OWNERS = 3
+#: From so many distinct owners or repositories on, a value is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 6
 #: So many distinct characters make a value look live.
 LIVE_CHARS = 6
 
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = docs.select(
         F.col(id_col), (F.col("source") if owner is None else owner).cast("string").alias("owner"),
-        (F.concat_ws("/", "source", "lang") if repo is None else repo).cast("string").alias("repo"), text.alias("__t"),
+        (F.nullif(F.concat_ws("/", "source", "lang"), F.lit("")) if repo is None else repo).cast("string").alias("repo"), text.alias("__t"),
     )
     each = start.select(id_col, "owner", "repo", *[spans_of(F.col("__t"), k).alias(f"__{k}") for k in range(len(KINDS))])
     return each.select(id_col, "owner", "repo", F.array_sort(F.array_compact(F.flatten(F.array_compact(F.array(*[f"__{k}" for k in range(len(KINDS))]))))).alias("found"))
@@ -93,7 +93,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
 def spread(scanned: DataFrame) -> DataFrame:
     """One row per candidate hash: n_repos, n_owners, copied."""
     pairs = scanned.select("owner", "repo", F.explode("found.sha").alias("sha")).distinct()
-    return pairs.groupBy("sha").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")).withColumn("copied", F.col("n_owners") >= COPIED_OWNERS)
+    return pairs.groupBy("sha").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")).withColumn("copied", (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS))
 
 
 def _joined(spans: Column) -> Column:
@@ -128,18 +128,18 @@ def _kind_sql(rank: int) -> str:
     kind, pattern, group, least = KINDS[rank]
     p = pattern.replace("'", "''")
     return f"""
-      SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(v) AS sha,
+      SELECT doc_id, owner, repo, {rank} AS rank, '{kind}' AS kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(v) AS sha,
         len(list_distinct(string_split(v, ''))) >= {LIVE_CHARS} AS live
-      FROM (SELECT doc_id, owner, m[i] AS m, v[i] AS v, list_sum(list_transform(parts[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS e
-            FROM (SELECT doc_id, owner, parts, m, v, unnest(range(1, len(m) + 1)) AS i
-                  FROM (SELECT doc_id, source AS owner, regexp_split_to_array(t, '{p}') AS parts, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v
-                        FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents) a WHERE regexp_matches(t, '{p}')) b) c) d
+      FROM (SELECT doc_id, owner, repo, m[i] AS m, v[i] AS v, list_sum(list_transform(parts[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS e
+            FROM (SELECT doc_id, owner, repo, parts, m, v, unnest(range(1, len(m) + 1)) AS i
+                  FROM (SELECT doc_id, source AS owner, repo, regexp_split_to_array(t, '{p}') AS parts, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v
+                        FROM (SELECT doc_id, source, nullif(concat_ws('/', source, lang), '') AS repo, coalesce(text, '') AS t FROM documents) a WHERE regexp_matches(t, '{p}')) b) c) d
       WHERE length(v) >= {least}"""
 
 
 SQL_OP6 = f"""
 WITH spans AS MATERIALIZED ({" UNION ALL ".join(_kind_sql(k) for k in range(len(KINDS)))}),
-spread AS (SELECT sha, count(DISTINCT owner) >= {COPIED_OWNERS} AS copied FROM spans GROUP BY sha),
+spread AS (SELECT sha, count(DISTINCT owner) >= {COPIED_OWNERS} OR count(DISTINCT repo) >= {COPIED_REPOS} AS copied FROM spans GROUP BY sha),
 vals AS (SELECT doc_id, sum(CAST(copied AS BIGINT)) AS n_copied, sum(CAST(NOT copied AND live AS BIGINT)) AS n_live
   FROM (SELECT DISTINCT doc_id, sha, live FROM spans) x JOIN spread USING (sha) GROUP BY doc_id),
 per AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
