@@ -1,11 +1,12 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Training takes confirmed toxic examples and unlabelled text, which holds toxic documents too, and minimises the class-prior-corrected risk
+Training takes confirmed toxic examples and rows taken as unlabelled, which hold toxic ones too, and minimises the class-prior-corrected risk
 prior * R_pos(+1) + max(0, R_unl(-1) - prior * R_pos(-1)) of a linear model over hashed words and word beginnings, with numpy on the driver. The prior is the toxic share of all labels that may be learned from.
-Both samples are bounded and drawn by the hash of the id, so that they don't depend on how the data are laid out; everything else covers all rows. Scoring is a map over whole texts.
+Both sides are bounded samples of the labelled rows, drawn by the hash of the id, so that they don't depend on how the data are laid out; of the unlabelled side no label is looked at. Which features the model has is decided by
+how many documents of the whole corpus, labelled or not, hold each: these counts cover every text. Scoring is a map over whole texts.
 
 Defined results: a null or empty text has no features and gets the score of the intercept alone. A document that several labels confirm counts once. Rows with a null id or label teach nothing. Without any
-confirmed example every score is 0. Repeated rows give repeated rows; an empty table gives an empty one. Scores never see labels, ids or other columns.
+confirmed example every score is 0. Repeated rows give repeated rows; an empty table gives an empty one. Scores never see labels, ids or other columns. score() refuses to keep a column that is named as a result.
 """
 
 from __future__ import annotations
@@ -20,41 +21,80 @@ from pyspark.sql import functions as F
 from graincask.llm.common import table
 from graincask.llm.words import NOT_ALNUM, Splitter, chunks, mix
 
-#: Most confirmed and unlabelled documents that a model is trained on.
+#: Most confirmed rows, and most labelled rows taken as unlabelled, that a model is trained on.
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: Hashed feature space; word beginnings of so many bytes are features beside the words.
 SPACE, BEGINNINGS = 1 << 20, (4, 5, 6)
-#: A feature needs so many confirmed documents and such a part of them, so many standard errors more of them than of the unlabelled, and such a toxic share by the prior.
-LEAST_DOCS, LEAST_PART, LEAST_Z, LEAST_SHARE = 3, 0.01, 4.5, 0.75
+#: A feature needs so many confirmed documents and such a part of them, so many standard errors more of them than of the corpus, and such a toxic share by the prior.
+LEAST_DOCS, LEAST_PART, LEAST_Z, LEAST_SHARE = 3, 0.005, 3.5, 0.4
+#: Weight of the squared weights in the risk.
+DECAY = 3e-4
 FOLDS = 5
 
 
-def features(split: Splitter, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each text of a chunk and their text numbers."""
+def features(split: Splitter, data: np.ndarray, offsets: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of each text of a chunk and their text numbers; among: which of the feature space are wanted."""
     starts, ends, hashes, firsts = split.words(data, offsets)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
-    found, owner = [hashes], [of]
+    found, owner = [], []
+
+    def add(h: np.ndarray, o: np.ndarray) -> None:
+        number = (h & np.uint64(SPACE - 1)).astype(np.int64)
+        some = slice(None) if among is None else among[number]
+        found.append(number[some])
+        owner.append(o[some])
+
+    add(hashes, of)
     part = np.zeros(len(starts), np.uint64)
-    last = max(BEGINNINGS)
-    for k in range(last):
+    for k in range(max(BEGINNINGS)):
         inside = starts + k < ends
         part = part * np.uint64(0x100000001B3)
         part[inside] += split.value[data[starts[inside] + k]]
         if k + 1 in BEGINNINGS:
-            found.append(mix(part[inside] + np.uint64(k)))
-            owner.append(of[inside])
-    key = np.unique(np.concatenate(owner).astype(np.int64) * SPACE + (np.concatenate(found) & np.uint64(SPACE - 1)).astype(np.int64))
+            add(mix(part[inside] + np.uint64(k)), of[inside])
+    key = np.unique(np.concatenate(owner) * SPACE + np.concatenate(found))
     return key % SPACE, key // SPACE
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 250, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers, their weights and the intercept."""
-    count = lambda rows: np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), minlength=SPACE)
-    p, u = count(positive), count(unlabelled)
-    n_p, n_u = len(positive), max(1, len(unlabelled))
-    rate_p, rate_u = p / n_p, u / n_u
-    spread = np.sqrt(np.maximum(rate_u * (1 - rate_u), 1 / n_u) * (1 / n_p + 1 / n_u))
-    kept = np.flatnonzero((p >= min(max(LEAST_DOCS, LEAST_PART * n_p), n_p)) & (rate_p - rate_u > LEAST_Z * spread) & (prior * rate_p >= LEAST_SHARE * (u + 0.5) / n_u))
+def document_counts(docs: DataFrame, wanted: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each wanted feature, and how many there are. At most a row per wanted feature and task is summed."""
+    context = docs.sparkSession.sparkContext
+    mask = np.zeros(SPACE, bool)
+    mask[wanted] = True
+    given = context.broadcast(np.packbits(mask))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, among, held, n = Splitter(NOT_ALNUM, lower=True), np.unpackbits(given.value).astype(bool), np.zeros(SPACE, np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, data, offsets in chunks(batch, "text"):
+                held += np.bincount(features(split, data, offsets, among)[0], minlength=SPACE)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*held[some].tolist(), n], pa.int64())], names=["feature", "n"])
+
+    sums = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    held, n = np.zeros(SPACE, np.int64), 0
+    for r in sums:
+        if r["feature"] < 0:
+            n = r["n"]
+        else:
+            held[r["feature"]] = r["n"]
+    return held, n
+
+
+def candidates(positive: list[np.ndarray]) -> np.ndarray:
+    """Features of enough confirmed documents."""
+    p, n = np.bincount(np.concatenate(positive), minlength=SPACE), len(positive)
+    return np.flatnonzero(p >= min(max(LEAST_DOCS, LEAST_PART * n), n))
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, held: np.ndarray, n_docs: int, *, epochs: int = 250, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature numbers, their weights and the intercept. held, n_docs: documents of the corpus that hold each candidate, and in all."""
+    p, n_p, n_u = np.bincount(np.concatenate(positive), minlength=SPACE), len(positive), max(1, len(unlabelled))
+    rate_p, rate_all = p / n_p, held / max(1, n_docs)
+    spread = np.sqrt(np.maximum(rate_all * (1 - rate_all), 1 / max(1, n_docs)) * (1 / n_p + 1 / max(1, n_docs)))
+    some = candidates(positive)
+    kept = some[(rate_p[some] - rate_all[some] > LEAST_Z * spread[some]) & (prior * rate_p[some] >= LEAST_SHARE * (held[some] + 0.5) / max(1, n_docs))]
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
 
@@ -90,7 +130,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 slope_p = slope_p - prior * sigmoid(zp) / len(zp)
                 slope_u = sigmoid(zu) / max(1, len(zu))
             g = np.zeros(len(kept) + 1)
-            g[:-1] = np.bincount(cp, slope_p[op], len(kept)) + np.bincount(cu, slope_u[ou], len(kept)) + 1e-5 * w
+            g[:-1] = np.bincount(cp, slope_p[op], len(kept)) + np.bincount(cu, slope_u[ou], len(kept)) + DECAY * w
             g[-1] = slope_p.sum() + slope_u.sum()
             t += 1
             moment = 0.9 * moment + 0.1 * g
@@ -113,8 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return None
     by_hash = lambda df, n: df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(8), id_col).alias("h")).orderBy("h", "id").limit(n).select("id")
     positives = by_hash(confirmed.filter("y = 1"), POSITIVES).withColumn("kind", F.lit(1))
-    unlabelled = by_hash(docs.filter(~held_out(id_col)), UNLABELLED).withColumn("kind", F.lit(0))
-    wanted = positives.union(unlabelled)  # bounded by the two parameters
+    wanted = positives.union(by_hash(confirmed, UNLABELLED).withColumn("kind", F.lit(0)))  # bounded by the two parameters
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("id", "kind", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,31 +174,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     positive = [f for f, k in zip(some, kinds, strict=True) if k == 1]
     if not positive:
         return None
-    kept, w, b = train(positive, [f for f, k in zip(some, kinds, strict=True) if k == 0], total["p"] / total["n"])
+    held, n_docs = document_counts(docs, candidates(positive), text_col)
+    kept, w, b = train(positive, [f for f, k in zip(some, kinds, strict=True) if k == 0], total["p"] / total["n"], held, n_docs)
     return {"features": kept, "weights": w, "intercept": b, "prior": total["p"] / total["n"]}
 
 
 def score(docs: DataFrame, model: dict | None, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Kept columns, score and predicted of every row."""
-    spark = docs.sparkSession
-    source = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
-    given = spark.sparkContext.broadcast(None if model is None else (model["features"], model["weights"], model["intercept"]))
+    if clash := set(keep) & {"score", "predicted"}:
+        raise ValueError(f"columns named as results can't be kept: {sorted(clash)}")
+    source = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.sparkSession.sparkContext.broadcast(None if model is None else (model["features"], model["weights"], model["intercept"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, weight, intercept = Splitter(NOT_ALNUM, lower=True), np.zeros(SPACE), -np.inf
         if given.value is not None:
             weight[given.value[0]], intercept = given.value[1], given.value[2]
+        among = weight != 0
         for batch in batches:
             z = np.full(batch.num_rows, intercept)
-            for first, end, data, offsets in chunks(batch, "__text"):
-                f, o = features(split, data, offsets)
+            for first, end, data, offsets in chunks(batch, "text"):
+                f, o = features(split, data, offsets, among)
                 z[first:end] += np.bincount(o, weight[f], end - first)
             s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             s[np.isneginf(z)] = 0.0
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, f"row {docs.select(*keep).schema.simpleString()}, score double, predicted int").select("row.*", "score", "predicted")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
