@@ -394,7 +394,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     found = groups(_pinned(docs, id_col, text_col), percent, shingle)
     # a class of one text without links needs no look-up; a set without elements has a key of its own: no hot key, no match
     told = found.classes.select("key", "key2", "m", "id").join(found.linked, ["key", "key2"], "left").filter("m > 1 OR root IS NOT NULL")
-    told = told.select("key", "key2", F.lit(True).alias("told"), F.when(F.col("root").isNotNull(), F.col("best.id")).otherwise(F.col("id")).alias("component"))
+    # settled, so that Spark may split the join below where copies of one text are many
+    told = settle(told.select("key", "key2", F.lit(True).alias("told"), F.when(F.col("root").isNotNull(), F.col("best.id")).otherwise(F.col("id")).alias("component")))
     some = F.col("n") > 0
     mine = found.rows.select("id", "n", F.when(some, F.col("key")).otherwise(F.col("node")).alias("key"), F.when(some, F.col("key2")).otherwise(F.lit(-1).cast("long")).alias("key2"))
     out = mine.join(told, ["key", "key2"], "left")
