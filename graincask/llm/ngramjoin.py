@@ -6,9 +6,10 @@
 3. For the classes left, every shingle's document frequency is counted exactly and told to those that have it; shingles of one class only can't be shared,
    and a class with too few shared ones goes.
 4. Prefixes in rare-first order are indexed by shingle. In each posting list, every member is paired with the list's first class; pairs that pass the length, positional
-   and suffix filters are verified, and verified links give components. This is linear in the postings, also where thousands are near copies of each other.
-5. Lists that still hold more than one component yield their other pairs across components, under the same filters; what step 4 has verified is taken out, so that no pair is verified twice. Pairs within a component can't change it. Long lists
-   are cut into blocks that are dealt out anew.
+   and suffix filters are verified, and verified links give components. Then every member is paired with one of its list and of another component that passes the filters, drawn by hash: lists draw different ones, so
+   that near copies of each other, of which some pairs aren't links, meet many of their kind. These rounds verify a number of pairs that is linear in the postings, also where thousands are near copies.
+5. Lists that still hold more than one component yield their other pairs across components, under the same filters. Pairs within a component can't change it. Long lists
+   are cut into blocks that are dealt out anew. What an earlier round has verified is taken out, so that no pair is verified twice.
 
 The suffix filter bounds the overlap of two sets by their counts of shared elements in eight ranges of hashes, for all members of a list at once.
 Texts are read in place (see inplace): what is moved is hashes and the sets of classes that passed step 2.
@@ -38,6 +39,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Members of a posting list that are paired at once, and rows whose sets are told frequencies together.
 BLOCK, SET_ROWS, SET_BITS = 2048, 2000, 5
+#: Rounds in which members are paired with one drawn from their list.
+DRAWN = 2
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -275,8 +278,9 @@ def _pair_table(a: list[np.ndarray], b: list[np.ndarray], left: list[bytes], rig
     return pa.table({"a": pa.array([*x.tolist(), *[None] * len(left)], pa.int64()), "b": pa.array([*y.tolist(), *[None] * len(left)], pa.int64()), "left": pa.array([*blank, *left], pa.binary()), "right": pa.array([*blank, *right], pa.binary())})
 
 
-def candidates(rows: DataFrame, parts: int, percent: int = PERCENT, *, across: bool = False) -> DataFrame:
-    """Pairs a < b. First every member with the first of its list; across: members of different groups, all but those pairs."""
+def candidates(rows: DataFrame, parts: int, percent: int = PERCENT, *, pivot: str = "first") -> DataFrame:
+    """Pairs a < b of members of different groups: every member with the first of its list, with one drawn from those of its list that pass, or (pivot: none) all, but those with the first."""
+    across = pivot == "none"
 
     def run(t: pa.Table) -> pa.Table:
         hashes = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint64)
@@ -289,10 +293,18 @@ def candidates(rows: DataFrame, parts: int, percent: int = PERCENT, *, across: b
             if e - s < 2:
                 continue
             m = members[s:e]
-            if not across:
-                ok = passing(m[:1], m[1:], percent) & (m["label"][1:] != m["label"][0])
+            if pivot == "first":
+                ok = passing(m[:1], m, percent) & (m["group"] != m["group"][0])
                 a.append(np.full(int(ok.sum()), m["label"][0]))
-                b.append(m["label"][1:][ok])
+                b.append(m["label"][ok])
+                continue
+            if pivot == "drawn":
+                if (m["group"] != m["group"][0]).any():
+                    m = m[np.argsort(m["n"], kind="stable")]
+                    for k in range(0, len(m), BLOCK):
+                        x, y = _drawn(m[k : k + BLOCK], hashes[s], percent)
+                        a.append(x)
+                        b.append(y)
                 continue
             rest = m[1:]
             if len(rest) < 2 or (rest["group"] == rest["group"][0]).all():
@@ -326,6 +338,17 @@ def candidates(rows: DataFrame, parts: int, percent: int = PERCENT, *, across: b
     return found.filter("a IS NOT NULL").select("a", "b").union(blocks).distinct()
 
 
+def _drawn(x: np.ndarray, seed: np.uint64, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member with one of another group, if any passes."""
+    a, b, draw = [], [], mix(x["label"].astype(np.uint64) ^ seed)
+    for i in range(len(x)):
+        ok = np.flatnonzero((x["group"] != x["group"][i]) & passing(x[i : i + 1], x, percent))
+        if len(ok):
+            a.append(x["label"][i])
+            b.append(x["label"][ok[int(draw[i] % np.uint64(len(ok)))]])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _across(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = [], []
     for i in range(len(x)):
@@ -376,13 +399,16 @@ def groups(docs: inplace.Pinned, percent: int = PERCENT, shingle: int = SHINGLE)
     sets = settle(sets_of(docs, filed, near, shingle))
     inplace.delete(filed, near)
     rank = settle(ranked(sets, docs.parts, percent))
-    star = settle(verified(candidates(rank.withColumn("grp", F.col("label")), docs.parts, percent), rank, percent))
-    links = star.filter("linked").select("a", "b")
-    found = components(links)
-    grouped = rank.join(found.select(F.col("a").alias("label"), F.col("b").alias("c")), "label", "left").withColumn("grp", F.coalesce("c", "label"))
-    others = candidates(grouped, docs.parts, percent, across=True).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = settle(verified(others, rank, percent).filter("linked").select("a", "b"))
-    final = components(found.union(more)) if more.limit(1).count() else found
+    done = settle(verified(candidates(rank.withColumn("grp", F.col("label")), docs.parts, percent), rank, percent))
+    final = components(done.filter("linked").select("a", "b"))
+    for pivot in (*["drawn"] * DRAWN, "none"):
+        grouped = rank.join(final.select(F.col("a").alias("label"), F.col("b").alias("c")), "label", "left").withColumn("grp", F.coalesce("c", "label"))
+        new = candidates(grouped, docs.parts, percent, pivot=pivot).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        checked = settle(verified(new, rank, percent))
+        links = checked.filter("linked").select("a", "b")
+        if links.limit(1).count():
+            final = components(final.union(links))
+        done = done.union(checked)
     members = final.select(F.col("a").alias("node"), F.col("b").alias("root")).union(final.select("b", F.col("b").alias("root")).distinct())
     joined = settle(classes.join(members, "node").select("key", "key2", "root", F.struct(*_ROW).alias("r")))
     best = joined.groupBy("root").agg(F.min("r").alias("best"))
