@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Patterns of identifiers and of definition sites (group 1 or 2 is the name).
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]+"
 DEFINITION = r"\b(?:def|class|func|fn|function)\s+([A-Za-z_][A-Za-z0-9_]*)|\b(?:public|private|protected|static|final|\s)+\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+# Line ends and white space of Unicode text as the reference's language has them.
+LINE_END = "\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
+SPACE = "\t\n\x0B\f\r\x1C- \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Words of n-grams for decontamination and near duplicates.
 WORD = "[a-z0-9]+"
 
@@ -29,7 +32,7 @@ def definitions(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end adds no line, an empty text has none."""
-    parts = F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+    parts = F.split(text, LINE_END, -1)
     return let(parts, lambda p: F.when(F.get(p, F.size(p) - 1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
@@ -64,7 +67,7 @@ def md5_number(text: Column, digits: int = 7) -> Column:
 
 def blank(text: Column) -> Column:
     """Whether nothing but white space is there (null: yes)."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", "") == ""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE}]")
 
 
 def tail(text: Column, n: Column) -> Column:

@@ -63,10 +63,11 @@ def localize(files: DataFrame, queries: DataFrame, *, top_k: int | None = TOP_K,
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 
 
-def localize_json(found: DataFrame) -> DataFrame:
-    """query_id, result: the candidates as JSON in rank order, or the text that says there are none."""
+def localize_json(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, result of every query: the candidates as JSON in rank order, absent symbols as null, or the text that says there are none."""
     item = F.struct("rank", F.struct("path", "symbol", "score").alias("c"))
-    return found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("cs")).select("query_id", F.when(F.size("cs") == 0, "no candidates found").otherwise(F.to_json("cs")).alias("result"))
+    listed = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("cs"))
+    return queries.select("query_id").join(listed, "query_id", "left").select("query_id", F.when(F.col("cs").isNull(), "no candidates found").otherwise(F.to_json("cs", {"ignoreNullFields": "false"})).alias("result"))
 
 
 def cosine(a: Column, b: Column) -> Column:

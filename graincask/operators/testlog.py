@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from graincask.functions import text as T
 
-# Patterns of failing ids, in the order in which they are looked for (group 1 is the id), and texts of the feedback.
-FAILURES = (r"(?m)^(?:FAILED|ERROR)\s+(\S+)", r"(?m)^(\S+::\S+)\s+(?:FAILED|ERROR)", r"(?m)^(?:FAIL|ERROR):\s+(\S+)")
+# Patterns of failing ids, in the order in which they are looked for (group 1 is the id), and texts of the feedback. Lines end with \n alone; white space is Unicode's.
+_S, _NOT = f"[{T.SPACE}]", f"[^{T.SPACE}]"
+FAILURES = (rf"(?md)^(?:FAILED|ERROR){_S}+({_NOT}+)", rf"(?md)^({_NOT}+::{_NOT}+){_S}+(?:FAILED|ERROR)", rf"(?md)^(?:FAIL|ERROR):{_S}+({_NOT}+)")
 TIMED_OUT = "TESTS TIMED OUT after the cap.\n"
 PASSED = "ALL TESTS PASSED."
 FAILED_HEAD, FAILED_END = "TESTS FAILED (", " failing):\n"

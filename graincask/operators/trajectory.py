@@ -16,20 +16,20 @@ TOOLS = {
 }
 # Beginnings of tool results and the class that each shows.
 RESULT_CLASSES = (
-    ("EDIT OK", "edit_ok"), ("EDIT FAILED", "edit_failed"), ("could not parse tool arguments", "bad_arguments"), ("tool crashed", "crashed"), ("unknown tool", "unknown_tool"),
+    ("EDIT OK", "edit_ok"), ("EDIT FAILED", "edit_failed"), ("TOOL ARG PARSE ERROR", "bad_arguments"), ("TOOL CRASHED", "crashed"), ("unknown tool", "unknown_tool"),
     ("no such file", "no_file"), ("ALL TESTS PASSED", "tests_passed"), ("TESTS FAILED", "tests_failed"), ("TESTS TIMED OUT", "tests_timed_out"),
 )
 SUCCESS = "ALL TESTS PASSED"
 
 
 def arguments(raw: Column) -> Column:
-    """Arguments as a map of strings; '' and null are {}, anything else that isn't a JSON object is null."""
-    text = F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit("{}"))
+    """Arguments as a map of strings; '' and null are {}, anything else that isn't a JSON object is null, blanks too."""
+    text = F.coalesce(F.nullif(raw, F.lit("")), F.lit("{}"))
     return F.from_json(text, "map<string,string>")
 
 
 def parses(raw: Column) -> Column:
-    text = F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit("{}"))
+    text = F.coalesce(F.nullif(raw, F.lit("")), F.lit("{}"))
     return F.try_parse_json(text).isNotNull()
 
 
@@ -62,12 +62,28 @@ def summaries(messages: DataFrame) -> DataFrame:
         F.sum(F.length(F.coalesce("content", F.lit("")))).alias("n_tokens"), F.max_by("role", "turn").alias("last_role"))
 
 
+def with_tool_names(messages: DataFrame) -> DataFrame:
+    """Adds tool: the name of the call that a tool message answers, by the calls of the instance's assistant messages (columns tool_calls and tool_call_id)."""
+    calls = messages.select("instance_id", F.explode("tool_calls").alias("c")).select("instance_id", F.col("c.id").alias("tool_call_id"), F.col("c.function.name").alias("tool"))
+    return messages.join(calls.dropDuplicates(["instance_id", "tool_call_id"]), ["instance_id", "tool_call_id"], "left")
+
+
+def passed_run() -> Column:
+    """Whether a message (role, tool, content) is the result of a test run that passed."""
+    return F.coalesce((F.col("role") == "tool") & (F.col("tool") == "run_tests") & F.col("content").startswith(SUCCESS), F.lit(False))
+
+
 def resolved(messages: DataFrame) -> DataFrame:
-    """Per instance: whether a tool result shows success, and the first turn that does."""
-    hit = F.coalesce((F.col("role") == "tool") & F.col("content").startswith(SUCCESS), F.lit(False))
+    """Per instance: whether a test run shows success, and the first turn that does. messages: see with_tool_names()."""
+    hit = passed_run()
     return messages.groupBy("instance_id").agg(F.bool_or(hit).alias("resolved"), F.min(F.when(hit, F.col("turn"))).alias("first_success"))
 
 
+def reasoning_style(messages: DataFrame) -> DataFrame:
+    """Per instance: reasoned, whether an assistant message carries reasoning (reasoning_content, kept beside the content)."""
+    return messages.groupBy("instance_id").agg(F.bool_or(F.coalesce((F.col("role") == "assistant") & (F.col("reasoning_content") != ""), F.lit(False))).alias("reasoned"))
+
+
 def until_success(messages: DataFrame, success: Column) -> DataFrame:
     """Messages up to and with the first turn for which success holds; all where there is none."""
     first = F.min(F.when(success, F.col("turn"))).over(W.partitionBy("instance_id"))

@@ -101,7 +101,7 @@ def test_feedback(spark, sf):
 
 # --- tool calls
 
-_STATUS = """s AS (SELECT *, coalesce(nullif(trim(arguments), ''), '{}') AS j FROM v_calls), c AS (SELECT *, CASE WHEN NOT json_valid(j) THEN 'bad_json' WHEN name IS NULL OR name NOT IN ('search_replace', 'ast_edit', 'localize', 'read_file', 'run_tests') THEN 'unknown_tool'
+_STATUS = """s AS (SELECT *, coalesce(nullif(arguments, ''), '{}') AS j FROM v_calls), c AS (SELECT *, CASE WHEN NOT json_valid(j) THEN 'bad_json' WHEN name IS NULL OR name NOT IN ('search_replace', 'ast_edit', 'localize', 'read_file', 'run_tests') THEN 'unknown_tool'
   WHEN name = 'search_replace' AND NOT (json_exists(j, '$.path') AND json_exists(j, '$.find') AND json_exists(j, '$.replace')) OR name = 'ast_edit' AND NOT (json_exists(j, '$.path') AND json_exists(j, '$.target_symbol') AND json_exists(j, '$.new_source')) OR name = 'localize' AND NOT json_exists(j, '$.query') OR name = 'read_file' AND NOT json_exists(j, '$.path') THEN 'missing_argument' ELSE 'valid' END AS status FROM s)"""
 
 
@@ -120,7 +120,7 @@ def tool_usage(spark, sf):
     return V.toolcalls(spark, sf).groupBy(F.coalesce("name", F.lit("none")).alias("name")).agg(F.count(F.lit(1)).alias("n_calls"), F.countDistinct("instance_id").alias("n_instances"))
 
 
-@query("tool_args_defaults", f"WITH {V.TOOLCALLS}, s AS (SELECT call_id, coalesce(nullif(trim(arguments), ''), '{{}}') AS j FROM v_calls) SELECT call_id, coalesce(TRY_CAST(CASE WHEN json_valid(j) THEN j->>'$.top_k' END AS INTEGER), 10) AS top_k, greatest(coalesce(TRY_CAST(CASE WHEN json_valid(j) THEN j->>'$.start' END AS INTEGER), 1), 1) AS start_line, coalesce(TRY_CAST(CASE WHEN json_valid(j) THEN j->>'$.end' END AS INTEGER), 0) AS end_line FROM s")
+@query("tool_args_defaults", f"WITH {V.TOOLCALLS}, s AS (SELECT call_id, coalesce(nullif(arguments, ''), '{{}}') AS j FROM v_calls) SELECT call_id, coalesce(TRY_CAST(CASE WHEN json_valid(j) THEN j->>'$.top_k' END AS INTEGER), 10) AS top_k, greatest(coalesce(TRY_CAST(CASE WHEN json_valid(j) THEN j->>'$.start' END AS INTEGER), 1), 1) AS start_line, coalesce(TRY_CAST(CASE WHEN json_valid(j) THEN j->>'$.end' END AS INTEGER), 0) AS end_line FROM s")
 def tool_args_defaults(spark, sf):
     a = F.col("arguments")
     return V.toolcalls(spark, sf).select("call_id", trajectory.with_default(a, "top_k", 10).alias("top_k"), F.greatest(trajectory.with_default(a, "start", 1), F.lit(1)).alias("start_line"), trajectory.with_default(a, "end", 0).alias("end_line"))
@@ -145,7 +145,7 @@ def traj_len(spark, sf):
     return V.messages(spark, sf).groupBy("instance_id").agg(F.sum(F.length("content")).alias("n_tokens"))
 
 
-@query("resolved_flag", f"WITH {V.MESSAGES} SELECT instance_id, bool_or(role = 'tool' AND starts_with(content, 'ALL TESTS PASSED')) AS resolved, min(turn) FILTER (WHERE role = 'tool' AND starts_with(content, 'ALL TESTS PASSED')) AS first_success FROM v_messages GROUP BY instance_id")
+@query("resolved_flag", f"WITH {V.MESSAGES} SELECT instance_id, bool_or(role = 'tool' AND tool = 'run_tests' AND starts_with(content, 'ALL TESTS PASSED')) AS resolved, min(turn) FILTER (WHERE role = 'tool' AND tool = 'run_tests' AND starts_with(content, 'ALL TESTS PASSED')) AS first_success FROM v_messages GROUP BY instance_id")
 def resolved_flag(spark, sf):
     return trajectory.resolved(V.messages(spark, sf))
 
@@ -155,9 +155,9 @@ def result_classes(spark, sf):
     return V.messages(spark, sf).filter("role = 'tool'").select("instance_id", "turn", trajectory.result_class(F.col("content")).alias("class"))
 
 
-@query("traj_truncate_at_success", f"WITH {V.MESSAGES}, f AS (SELECT *, min(CASE WHEN role = 'tool' AND starts_with(content, 'ALL TESTS PASSED') THEN turn END) OVER (PARTITION BY instance_id) AS first FROM v_messages) SELECT instance_id, turn, role FROM f WHERE first IS NULL OR turn <= first")
+@query("traj_truncate_at_success", f"WITH {V.MESSAGES}, f AS (SELECT *, min(CASE WHEN role = 'tool' AND tool = 'run_tests' AND starts_with(content, 'ALL TESTS PASSED') THEN turn END) OVER (PARTITION BY instance_id) AS first FROM v_messages) SELECT instance_id, turn, role FROM f WHERE first IS NULL OR turn <= first")
 def traj_truncate_at_success(spark, sf):
-    return trajectory.until_success(V.messages(spark, sf), (F.col("role") == "tool") & F.col("content").startswith(trajectory.SUCCESS)).select("instance_id", "turn", "role")
+    return trajectory.until_success(V.messages(spark, sf), trajectory.passed_run()).select("instance_id", "turn", "role")
 
 
 @query("chat_serialize", f"WITH {V.MESSAGES} SELECT instance_id, md5(string_agg('<|' || role || '|>' || chr(10) || coalesce(content, ''), chr(10) ORDER BY turn)) AS text_md5 FROM v_messages GROUP BY instance_id")

@@ -143,10 +143,9 @@ def acceptance_rate(spark, sf):
     return a.withColumn("acceptance", F.round(F.try_divide("accepted", "drafted"), 6))
 
 
-@query("reasoning_share", f"WITH {V.MESSAGES} SELECT count(*) AS n, round(avg(CAST(r AS INTEGER)), 6) AS share, avg(CAST(r AS INTEGER)) >= 0.75 AS ok FROM (SELECT instance_id, bool_or(role = 'assistant' AND length(content) > 200) AS r FROM v_messages GROUP BY 1) x")
+@query("reasoning_share", f"WITH {V.MESSAGES} SELECT count(*) AS n, round(avg(CAST(r AS INTEGER)), 6) AS share, avg(CAST(r AS INTEGER)) >= 0.75 AS ok FROM (SELECT instance_id, bool_or(role = 'assistant' AND coalesce(reasoning_content, '') <> '') AS r FROM v_messages GROUP BY 1) x")
 def reasoning_share(spark, sf):
-    """A long assistant turn stands for a reasoning-style answer."""
-    each = V.messages(spark, sf).groupBy("instance_id").agg(F.bool_or((F.col("role") == "assistant") & (F.length("content") > 200)).alias("r"))
+    each = trajectory.reasoning_style(V.messages(spark, sf)).withColumnRenamed("reasoned", "r")
     return each.agg(F.count(F.lit(1)).alias("n"), evaluation.rate(F.col("r")).alias("share"), (F.avg(F.col("r").cast("int")) >= 0.75).alias("ok"))
 
 
@@ -160,7 +159,7 @@ def decision_gate(spark, sf):
     return g.select(rows.alias("r")).select("r.*")
 
 
-_VALID = "count(*) FILTER (WHERE json_valid(coalesce(nullif(trim(arguments), ''), '{}')))"
+_VALID = "count(*) FILTER (WHERE json_valid(coalesce(nullif(arguments, ''), '{}')))"
 
 
 @query("validity_by_checkpoint", f"WITH {V.TOOLCALLS} SELECT CAST(call_id % 3 AS INTEGER) AS checkpoint, count(*) AS n_calls, {_VALID} AS n_parsed, round({_VALID} / count(*), 6) AS parse_rate FROM v_calls GROUP BY 1")

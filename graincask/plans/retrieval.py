@@ -33,7 +33,7 @@ def read_file_range(spark, sf):
     return V.files(spark, sf).select("path", edits.file_view(F.col("text"), F.lit(2), F.lit(6)).alias("view"))
 
 
-@query("line_split", f"WITH {V.FILES} SELECT path, CAST(CASE WHEN text = '' THEN 0 WHEN ends_with(text, chr(10)) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS n_lines FROM (SELECT path, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM v_files) x")
+@query("line_split", f"WITH {V.FILES} SELECT path, CAST(CASE WHEN text = '' THEN 0 WHEN ends_with(text, chr(10)) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS n_lines FROM (SELECT path, regexp_replace(text, '\\r\\n|[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS text FROM v_files) x")
 def line_split(spark, sf):
     return V.files(spark, sf).select("path", F.size(T.lines(F.col("text"))).alias("n_lines"))
 
@@ -102,7 +102,7 @@ def bm25_def_boost(spark, sf):
 
 @query("localize_json")
 def localize_json(spark, sf):
-    return retrieval.localize_json(bm25_localize(spark, sf))
+    return retrieval.localize_json(bm25_localize(spark, sf), V.evals(spark, sf).select(F.col("instance_id").alias("query_id")))
 
 
 def _vec_queries(spark, sf):
@@ -118,7 +118,7 @@ def embedding_topk(spark, sf):
     return retrieval.embedding_topk(tables.table(spark, sf, "embeddings"), _vec_queries(spark, sf))
 
 
-@query("embedding_neardup", f"SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND round({_COS}, 6) >= 0.3")
+@query("embedding_neardup", f"""WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT x AS query_id, y AS vec_id, cosine FROM p WHERE cosine >= 0.3 UNION ALL SELECT y, x, cosine FROM p WHERE cosine >= 0.3""")
 def embedding_neardup(spark, sf):
-    """All vectors against all. The SQL states the rows of the query set of embedding_topk alone."""
     return retrieval.near_vectors(tables.table(spark, sf, "embeddings"), 0.3)

@@ -12,7 +12,7 @@ from graincask.sources.tables import table
 #: Repositories that evaluation sets use, by set.
 EVAL_REPOS = {"primary": ("src0", "src1"), "verified": ("src1", "src2")}
 #: Attempts that count as one grid.
-GRID = 4
+GRID = 8
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,11 +81,16 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     tool = (F.col("role") == "assistant") & (F.col("turn") % 4 == 3)
     content = F.when(tool & (F.col("conv_id") % 3 == 0), "ALL TESTS PASSED.").when(tool & (F.col("conv_id") % 3 == 1), "TESTS FAILED (1 failing):\n  - a::b").when(tool, "EDIT OK (1 change(s)).\n").otherwise(F.col("text"))
-    return c.select(F.col("conv_id").alias("instance_id"), "turn", F.when(tool, "tool").otherwise(F.col("role")).alias("role"), content.alias("content"))
+    return c.select(F.col("conv_id").alias("instance_id"), "turn", F.when(tool, "tool").otherwise(F.col("role")).alias("role"), content.alias("content"),
+        # which tool answered, and reasoning: a long assistant turn carries its first sentence as that
+        F.when(tool & (F.col("conv_id") % 3 == 2), "search_replace").when(tool, F.when(F.col("conv_id") % 5 == 4, "read_file").otherwise("run_tests")).alias("tool"),
+        F.when((F.col("role") == "assistant") & ~tool & (F.length("text") > 200), F.substring_index("text", ".", 1)).alias("reasoning_content"))
 
 
 MESSAGES = """v_messages AS (SELECT conv_id AS instance_id, turn, CASE WHEN tool THEN 'tool' ELSE role END AS role,
-  CASE WHEN tool AND conv_id % 3 = 0 THEN 'ALL TESTS PASSED.' WHEN tool AND conv_id % 3 = 1 THEN 'TESTS FAILED (1 failing):' || chr(10) || '  - a::b' WHEN tool THEN 'EDIT OK (1 change(s)).' || chr(10) ELSE text END AS content
+  CASE WHEN tool AND conv_id % 3 = 0 THEN 'ALL TESTS PASSED.' WHEN tool AND conv_id % 3 = 1 THEN 'TESTS FAILED (1 failing):' || chr(10) || '  - a::b' WHEN tool THEN 'EDIT OK (1 change(s)).' || chr(10) ELSE text END AS content,
+  CASE WHEN tool AND conv_id % 3 = 2 THEN 'search_replace' WHEN tool AND conv_id % 5 = 4 THEN 'read_file' WHEN tool THEN 'run_tests' END AS tool,
+  CASE WHEN role = 'assistant' AND NOT tool AND length(text) > 200 THEN split_part(text, '.', 1) END AS reasoning_content
   FROM (SELECT *, role = 'assistant' AND turn % 4 = 3 AS tool FROM conversations) x)"""
 
 # Which tool an event stands for, and the arguments that it carries.
