@@ -5,12 +5,10 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from graincask.llm import decontam, linededup, ngramjoin, packing, quality
-from graincask.llm.common import shared_dir, table
+from graincask.llm import decontam, inplace, linededup, ngramjoin, packing, quality
+from graincask.llm.common import table
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -24,19 +22,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage keeps is written to the shared folder and goes when the next has read it."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            _delete(spark, f"{folder}/{k - 1}")
-    packed = STAGES[-1][1](spark, docs, sf_dir)  # has settled the tokens
-    _delete(spark, folder)
-    return packed
+    """All stages over documents. What a stage keeps is written to the shared folder and goes when the next has read it, or when a stage fails."""
+    docs = table(spark, sf_dir, "documents")
+    folder = inplace.new_folder(docs, "pipeline")
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                inplace.delete(f"{folder}/{k - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)  # has settled the tokens
+    finally:
+        inplace.delete(folder)
