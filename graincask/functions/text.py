@@ -60,6 +60,16 @@ def ngrams(ws: Column, n: int) -> Column:
     return let(ws, of)
 
 
+def ngram_hashes(ws: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the n-grams of an array of words, without their strings; none where there are fewer."""
+
+    def of(h: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))
+        return F.when(F.size(h) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), of)
+
+
 def md5_number(text: Column, digits: int = 7) -> Column:
     """A number from the first hexadecimal digits of the MD5; any engine can compute it."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")

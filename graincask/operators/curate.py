@@ -39,8 +39,8 @@ def blocked_by_repo(tasks: DataFrame, blocklist: DataFrame) -> DataFrame:
 
 def gram_hits(tasks: DataFrame, evals: DataFrame, n: int = NGRAM) -> DataFrame:
     """instance_id of the tasks that share an n-gram of words with an evaluation statement. Only hashes meet; a hit is exact but for 64-bit collisions."""
-    mine = tasks.select("instance_id", F.explode(F.transform(T.ngrams(T.words(F.col("problem_statement")), n), lambda g: F.xxhash64(g))).alias("g"))
-    theirs = evals.select(F.explode(F.transform(T.ngrams(T.words(F.col("problem_statement")), n), lambda g: F.xxhash64(g))).alias("g")).distinct()
+    mine = tasks.select("instance_id", F.explode(T.ngram_hashes(T.words(F.col("problem_statement")), n)).alias("g"))
+    theirs = evals.select(F.explode(T.ngram_hashes(T.words(F.col("problem_statement")), n)).alias("g")).distinct()
     return mine.join(theirs, "g", "left_semi").select("instance_id").distinct()
 
 

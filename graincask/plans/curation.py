@@ -69,8 +69,7 @@ ids AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS set_id FROM s G
 rs AS MATERIALIZED (SELECT doc_id, g, ('0x' || substr(md5(g), 1, 7))::BIGINT AS h FROM s WHERE doc_id IN (SELECT doc_id FROM reps)), n AS (SELECT doc_id, count(*) AS n FROM rs GROUP BY doc_id),
 sig AS (SELECT doc_id, k, min((a * h + b) % {curate.PRIME}) AS v FROM rs, (VALUES {_PARAMS}) p(k, a, b) GROUP BY doc_id, k),
 bands AS (SELECT doc_id, k // {_ROWS} AS band, string_agg(v::VARCHAR, ',' ORDER BY k) AS value FROM sig GROUP BY 1, 2),
-near AS (SELECT doc_id, first_value(doc_id) OVER x AS head, lag(doc_id) OVER x AS previous FROM bands WINDOW x AS (PARTITION BY band, value ORDER BY doc_id)),
-pairs AS (SELECT DISTINCT a, b FROM (SELECT head AS a, doc_id AS b FROM near UNION ALL SELECT previous, doc_id FROM near) y WHERE a < b),
+pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id),
 o AS (SELECT a, b, count(*) AS shared FROM pairs JOIN rs x ON x.doc_id = a JOIN rs y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
 links AS (SELECT a, b, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= {curate.PERCENT} * (p.n + q.n - shared))"""
 

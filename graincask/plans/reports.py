@@ -87,15 +87,16 @@ def report_grouping_sets(spark, sf):
 @query("latency_percentiles", A + ", t AS (SELECT repo, n_tokens / greatest(elapsed_s, 1) AS v FROM v_attempts) SELECT repo, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p95, round(avg(v), 4) AS mean FROM t GROUP BY repo")
 def latency_percentiles(spark, sf):
     t = V.attempts(spark, sf).select("repo", (F.col("n_tokens") / F.greatest("elapsed_s", F.lit(1))).alias("v"))
-    return t.groupBy("repo").agg(F.round(F.percentile("v", 0.5), 4).alias("p50"), F.round(F.percentile("v", 0.95), 4).alias("p95"), F.round(F.avg("v"), 4).alias("mean"))
+    return evaluation.percentiles(t, "repo", "v", {"p50": 0.5, "p95": 0.95}).select("repo", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "mean")])
 
 
-_TWO = "a AS (SELECT instance_id, resolved AS ra FROM v_runs WHERE model = 'a'), b AS (SELECT instance_id, resolved AS rb FROM v_runs WHERE model = 'b')"
+_TWO = "a AS (SELECT instance_id, resolved AS ra FROM v_runs WHERE attempt = 1), b AS (SELECT instance_id, resolved AS rb FROM v_runs WHERE attempt = 2)"
 
 
 def _two(spark, sf):
+    """The run that each model submits for an instance: its first attempt."""
     r = V.runs(spark, sf)
-    return r.filter("model = 'a'"), r.filter("model = 'b'")
+    return r.filter("attempt = 1"), r.filter("attempt = 2")
 
 
 @query("baseline_compare", R + f", {_TWO} SELECT coalesce(a.instance_id, b.instance_id) AS instance_id, CASE WHEN coalesce(ra, FALSE) AND coalesce(rb, FALSE) THEN 'both' WHEN coalesce(ra, FALSE) THEN 'a_only' WHEN coalesce(rb, FALSE) THEN 'b_only' ELSE 'neither' END AS outcome FROM a FULL JOIN b ON a.instance_id = b.instance_id")
@@ -122,10 +123,10 @@ def eval_report(spark, sf):
         F.round(F.avg("n_turns"), 4).alias("mean_turns"), F.round(F.sum("n_tokens") / F.sum(F.greatest("elapsed_s", F.lit(1))), 4).alias("tokens_per_s"))
 
 
-@query("score_predictions", R + ", p AS (SELECT instance_id FROM v_runs WHERE model = 'a'), t AS (SELECT instance_id, resolved FROM v_runs WHERE model = 'a' AND instance_id % 9 <> 0) SELECT p.instance_id, coalesce(resolved, FALSE) AS resolved, t.instance_id IS NULL AS missing_report FROM p LEFT JOIN t ON p.instance_id = t.instance_id")
+@query("score_predictions", R + ", p AS (SELECT instance_id FROM v_runs WHERE attempt = 1), t AS (SELECT instance_id, resolved FROM v_runs WHERE attempt = 1 AND instance_id % 9 <> 0) SELECT p.instance_id, coalesce(resolved, FALSE) AS resolved, t.instance_id IS NULL AS missing_report FROM p LEFT JOIN t ON p.instance_id = t.instance_id")
 def score_predictions(spark, sf):
     """A prediction without a report is unresolved."""
-    p = V.runs(spark, sf).filter("model = 'a'")
+    p, _ = _two(spark, sf)
     report = p.filter("instance_id % 9 <> 0").select("instance_id", F.col("resolved").alias("r"))
     return p.select("instance_id").join(report, "instance_id", "left").select("instance_id", F.coalesce("r", F.lit(False)).alias("resolved"), F.col("r").isNull().alias("missing_report"))
 

@@ -59,12 +59,12 @@ ATTEMPTS = """v_attempts AS (SELECT l_orderkey AS instance_id, CAST(row_number()
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """model (by parity of the attempt), instance_id, resolved: the first attempt of each model."""
-    a = attempts(spark, sf).filter("attempt <= 2")
-    return a.select(F.when(F.col("attempt") == 1, "a").otherwise("b").alias("model"), "instance_id", F.col("tests_passed").alias("resolved"), "n_turns", "n_tokens", "elapsed_s", "repo", "language")
+    """model (by parity of the attempt), instance_id, attempt, resolved of every attempt."""
+    a = attempts(spark, sf)
+    return a.select(F.when(F.col("attempt") % 2 == 1, "a").otherwise("b").alias("model"), "instance_id", "attempt", F.col("tests_passed").alias("resolved"), "n_turns", "n_tokens", "elapsed_s", "repo", "language")
 
 
-RUNS = ATTEMPTS + ", v_runs AS (SELECT CASE WHEN attempt = 1 THEN 'a' ELSE 'b' END AS model, instance_id, tests_passed AS resolved, n_turns, n_tokens, elapsed_s, repo, language FROM v_attempts WHERE attempt <= 2)"
+RUNS = ATTEMPTS + ", v_runs AS (SELECT CASE WHEN attempt % 2 = 1 THEN 'a' ELSE 'b' END AS model, instance_id, attempt, tests_passed AS resolved, n_turns, n_tokens, elapsed_s, repo, language FROM v_attempts)"
 
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:

@@ -394,3 +394,42 @@ def test_edit_queries_row_by_row(spark, sf):
         assert r["block"].split("\n")[:-1] == [("    " + x.rstrip()) if x.strip() else "" for x in rows] or any(x != x.lstrip() for x in rows)
     for r in agents.edit_diff(spark, sf).collect():
         assert r["diff"].startswith(f"--- a/{r['path']}\n+++ b/{r['path']}\n") and r["shown"].startswith("EDIT OK (")
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_percentiles_are_exact(spark, monkeypatch, accuracy):
+    import numpy as np
+
+    from graincask.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "ACCURACY", accuracy)
+    rng = np.random.default_rng(3)
+    groups = {"wide": rng.random(900) * 100, "ties": rng.integers(0, 4, 700).astype(float), "few": rng.random(19), "two": np.array([1.0, 2.0]), "one": np.array([7.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("few", None), (None, 1.0), ("none", None)]
+    points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in evaluation.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", points).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        for name, p in points.items():
+            assert abs(got[k][name] - float(np.quantile(vs, p))) < 1e-9, (k, name)
+        assert abs(got[k]["mean"] - float(vs.mean())) < 1e-9
+
+
+def test_ngram_hashes_stand_for_ngrams(spark):
+    from graincask.functions import text as T
+
+    rows = [(i, t) for i, t in enumerate(["", "a b", "a b c", "a b c a b c a", "ab c d", "a bc d", None])]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", F.split("t", " ").alias("w"))
+    got = df.select("i", T.ngrams(F.col("w"), 3).alias("g"), T.ngram_hashes(F.col("w"), 3).alias("h")).collect()
+    seen = {}
+    for r in got:
+        assert len(r["g"] or []) == len(r["h"] or [])
+        for g, h in zip(r["g"] or [], r["h"] or []):
+            assert seen.setdefault(g, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_runs_hold_every_attempt(spark, sf):
+    from graincask.plans import views as V
+
+    assert V.runs(spark, sf).count() == V.attempts(spark, sf).count()
