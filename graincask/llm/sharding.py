@@ -1,8 +1,8 @@
 """Vector bin packing of documents into shards that balance bytes, tokens and rows jointly.
 
 Equal texts form a group and stay in one shard. Each group goes, largest first, to the shard with room for it whose residual capacity has the highest dot product with the group's size vector.
-A group that alone holds over 1 / (shards * HEAVY) of any total, of which there are at most 3 * shards * HEAVY, is placed on the driver first. What capacity is left is shared out to cells, by hash of the group, of CELL_ROWS rows but no more than there are
-shuffle partitions; each cell packs its own groups one by one into its part of every shard's capacity, so the whole is as balanced as its cells, and no list of groups is gathered anywhere.
+A group that alone holds over 1 / (shards * HEAVY) of any total, of which there are at most 3 * shards * HEAVY, is placed on the driver first. What capacity is left is shared out to cells of about CELL_ROWS rows, by hash of the group;
+each cell packs its own groups one by one into its part of every shard's capacity, so the whole is as balanced as its cells, no list of groups is gathered anywhere, and a task's group is of one size however many rows there are.
 A group larger than a shard's fair share can't stay whole without breaking the balance: it is cut into equal parts. Rows of heavy groups are dealt to the cells like any others, so no task has a hot group.
 
 Tokens are counted by a fixed rule instead of a tokenizer's run over all texts: an ASCII letter run counts one per six letters begun, other ASCII marks and digits one each, other characters one per two begun.
@@ -18,13 +18,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graincask.llm.common import n_tasks, settle, table
+from graincask.llm.common import settle, table
 
 #: The part of a shard's fair share above which a group is heavy, and the parts of a share that a group which must be cut is cut into.
 HEAVY, PARTS = 64, 8
-#: Rows per cell; with more cells than shuffle partitions, a cell gets more. Few cells balance small inputs better.
+#: Rows per cell on average, by hash.
 CELL_ROWS = 10_000
 SIZES = ("bytes", "tokens", "n_rows")
 TOKEN = r"[A-Za-z]{1,6}|[^\x00-\x7F]{1,2}|[\x21-\x40\x5B-\x60\x7B-\x7E]"
@@ -79,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     units = marked.filter("heavy IS NOT NULL").groupBy("heavy", "cut").agg(*sums).orderBy("heavy", "cut").toPandas()
     units["given"] = place(units[list(SIZES)].to_numpy(float), left)
     given = spark.createDataFrame(pa.table({c: pa.array(units[c].to_numpy(np.int32)) for c in ("heavy", "cut", "given")}))
-    cells = max(1, min(n_tasks(rows), total["n_rows"] // CELL_ROWS))
+    cells = max(1, total["n_rows"] // CELL_ROWS)
     cell = F.pmod(F.when(F.col("heavy").isNull(), F.xxhash64("digest")).otherwise(F.xxhash64("row")), F.lit(cells)).cast("int")
     dealt = marked.join(F.broadcast(given), ["heavy", "cut"], "left").select("doc_id", "size", "tokens", "text_crc32", "digest", "given", cell.alias("cell"))
     residual = np.maximum(left, 0)
@@ -100,10 +101,9 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
         return t.select(["doc_id", "size", "text_crc32", "cell"]).append_column("shard", pa.array(out, pa.int32())).append_column("rank", pa.array(rank))
 
     placed = settle(dealt.groupBy("cell").applyInArrow(pack, _PLACED))
-    counts = placed.groupBy("cell", "shard").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["shard", "cell"])  # shards * cells rows at most
-    counts["before"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
-    offsets = spark.createDataFrame(pa.Table.from_pandas(counts[["cell", "shard", "before"]], preserve_index=False))
-    return placed.join(F.broadcast(offsets), ["cell", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
+    counts = placed.groupBy("cell", "shard").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("cell", "shard", (F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
+    return placed.join(offsets, ["cell", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
