@@ -39,7 +39,7 @@ def localize(files: DataFrame, queries: DataFrame, *, top_k: int | None = TOP_K,
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("statement")))).alias("term"))
     named = queries.select("query_id", F.array_distinct(F.filter(T.identifiers(F.col("statement")), lambda x: F.length(x) > 2)).alias("named"))
-    analysed = files.select("path", T.tokens(F.col("text")).alias("toks"), T.definitions(F.col("text")).alias("defs")).withColumn("dl", F.size("toks")).filter("dl > 0")
+    analysed = files.select("path", T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks")).filter("dl > 0")
     stats = analysed.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))
     terms = asked.select("term").distinct()
     tf = (
@@ -52,7 +52,7 @@ def localize(files: DataFrame, queries: DataFrame, *, top_k: int | None = TOP_K,
     scored = (
         tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
         .groupBy("query_id", "path").agg(F.sum(part).alias("base"))
-        .join(analysed.select("path", "defs"), "path").join(named, "query_id")
+        .join(files.select("path", T.definitions(F.col("text")).alias("defs")), "path").join(named, "query_id")
     )
     hits = F.array_intersect("defs", "named")
     score = F.col("base") * (1 + 0.5 * F.size(hits)) if boost else F.col("base")
