@@ -224,7 +224,9 @@ def weights(ids: np.ndarray, of: np.ndarray, n: int, idf: np.ndarray, mean: floa
     lengths = np.bincount(of, minlength=n)
     place, key = pd.factorize(of * SLOTS + ids)
     tf = np.bincount(place, minlength=len(key))
-    doc, term = key // SLOTS, key % SLOTS
+    del place
+    doc, term = (key // SLOTS).astype(np.int32), (key % SLOTS).astype(np.int32)
+    del key
     return doc, term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
 
 
