@@ -10,12 +10,15 @@ import sys
 import types
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import graincask.plans  # noqa: F401  registers the queries
+from graincask import catalog
 from graincask.functions import text as T
 from graincask.operators import curate, edits, rerank, retrieval, rewards, testlog, trajectory
 from graincask.sources import tables
@@ -273,6 +276,28 @@ def test_near_vectors_are_all_pairs(spark, sf, block, monkeypatch):
     assert got == Counter(duck(sf).sql(catalog.ORACLES["embedding_neardup"]).fetchall())
 
 
+ODD_VECTORS = [
+    (0, [1.0] * 64), (20, [0.0] * 64), (1, [0.0] * 64), (2, [1.0] * 64), (3, None), (4, [1.0, 2.0]), (5, [None] * 64), (6, [None, 1.0] + [0.5] * 62), (None, [1.0] * 64), (7, [float("nan")] + [1.0] * 63),
+    (8, [float("inf")] + [1.0] * 63), (9, [1.0] * 70), (10, []), (0, [2.0] * 64), (40, None), (60, [-1.0] * 64), (80, [None] * 63 + [1.0]), (100, [1.0]), (61, [-3.0] * 64),
+]
+
+
+@pytest.mark.parametrize(("side", "step"), [(1 << 17, (256, 4096)), (50, (7, 16))])
+def test_embedding_topk_odd_and_copied_vectors(spark, tmp_path, side, step):
+    """Zeros, gaps, other lengths, copies of one vector and of its multiples, repeated ids: all as SQL has them; and no product of all pairs by a lambda for each."""
+    rng = np.random.default_rng(5)
+    v = [(i, rng.normal(size=64).astype("f4").tolist()) for i in range(200, 500)]
+    v += [(i, v[0][1]) for i in range(500, 600)] + [(i, (np.float32(i) * np.array(v[0][1], "f4")).tolist()) for i in range(600, 660)] + [(200, v[0][1])] * 30 + [(220, v[3][1])] * 3
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(ODD_VECTORS + v, "vec_id long, embedding array<float>").write.parquet(path)
+    df = spark.read.parquet(path)
+    asked = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = retrieval.embedding_topk(df, asked, dims=64, side=side, step=step)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoopJoin" not in plan
+    want = duckdb.sql(catalog.ORACLES["embedding_topk"].replace("FROM embeddings a, embeddings b", f"FROM '{path}/*.parquet' a, '{path}/*.parquet' b")).fetchall()
+    assert Counter(map(repr, rows(found.select("query_id", "vec_id", "cosine", "rank")))) == Counter(map(repr, want))
+
+
 def test_near_vectors_odd_rows(spark):
     data = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (None, [1.0, 0.0]), (5, [1.0, None]), (6, [1.0]), (7, [-1.0, 0.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
