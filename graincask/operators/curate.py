@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,10 +21,15 @@ SHORT, MIDDLE, LONG = 4096, 8192, 32768
 SHINGLE, HASHES, BANDS, PERCENT = 5, 64, 16, 75
 #: Rows of a block: a bucket's pairs are dealt to tasks by pairs of its blocks.
 BLOCK = 512
+#: Sets of a side of a tile in which pairs are verified: of many small groups together, and of a larger group that is cut.
+NODES, CUT = 1024, 256
 PRIME = (1 << 31) - 1
 # Phrases that show a licence, the first that is found counts.
 LICENCES = (("Apache License", "apache-2.0"), ("MIT License", "mit"), ("GNU General Public License", "gpl-3.0"), ("CC BY-NC", "cc-by-nc-4.0"))
 PERMISSIVE = ("apache-2.0", "mit")
+_WORD = re.compile(T.WORD.encode())
+#: Sets of shingles as numbers from a column.
+Reader = Callable[[pa.Array], Iterator[np.ndarray]]
 
 
 def hash_parameters(n: int = HASHES) -> list[tuple[int, int]]:
@@ -71,38 +83,156 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return sets.groupBy(F.md5(F.array_join("shingles", "\n")).alias("set_id")).agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"))
 
 
-def minhash_links(sets: DataFrame) -> DataFrame:
-    """Pairs a < b of classes with a Jaccard similarity of at least PERCENT, found by banded MinHash.
+def _text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each lower-cased text: its distinct shingles as sorted 64-bit numbers, the first digits of their MD5."""
+    for text in texts.cast(pa.binary()):
+        w = _WORD.findall(text.as_py())
+        yield _numbers([b" ".join(g) for g in set(zip(*(w[k:] for k in range(SHINGLE)), strict=False))])
 
-    All pairs of a bucket are candidates but those whose sizes alone rule the similarity out. A bucket is cut in blocks and each pair of blocks is a key of the join, so a large one spreads.
-    """
-    params = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in hash_parameters()])
-    hashes = F.transform("shingles", lambda g: T.md5_number(g))
-    signed = sets.select("doc_id", F.size("shingles").alias("n"), T.let(hashes, lambda h: F.transform(params, lambda p: F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % PRIME)))).alias("sig"))
-    rows = HASHES // BANDS
 
-    def bands(sig: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.array_join(F.slice(sig, k * rows + 1, rows), ",").alias("value")))
+def _given_sets(sets: pa.Array) -> Iterator[np.ndarray]:
+    """The same of each array of strings."""
+    for grams in sets:
+        yield _numbers([g.encode() for g in grams.as_py()])
+
+
+def _numbers(grams: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join([hashlib.md5(g, usedforsecurity=False).digest() for g in grams]), ">u8")[::2].astype(np.uint64))
+
+
+def _signature(numbers: np.ndarray) -> bytes:
+    """HASHES minima, 4 bytes each; a function's input is the first 28 bits."""
+    a, b = (np.array(c, np.int64)[:, None] for c in zip(*hash_parameters(), strict=True))
+    out = np.full(HASHES, PRIME, np.int64)
+    for k in range(0, len(numbers), 8192):
+        x = a * (numbers[k : k + 8192] >> np.uint64(36)).astype(np.int64) + b
+        x = (x & PRIME) + (x >> 31)  # modulo PRIME but for one subtraction
+        out = np.minimum(out, np.where(x >= PRIME, x - PRIME, x).min(axis=1))
+    return out.astype(">u4").tobytes()
+
+
+def _set_id(numbers: np.ndarray) -> bytes:
+    return hashlib.md5(numbers.tobytes(), usedforsecurity=False).digest()
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Computed once: in the folder that all executors share, where it is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir() and (where := sc.getConf().get("spark.checkpoint.dir")):
+        sc.setCheckpointDir(where)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
+def _signed(rows: DataFrame, read: Reader) -> DataFrame:
+    """doc_id, set_id (null without a shingle), n, sig of rows of doc_id and value. No shingle leaves its task."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_set_id(x), len(x), _signature(x)) if len(x) else (None, 0, None) for x in read(batch.column("value"))]
+            ids, n, sig = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], ["doc_id", "set_id", "n", "sig"])
 
-    banded = signed.select("doc_id", "n", F.explode(T.let(F.col("sig"), bands)).alias("b")).select("doc_id", "n", "b.band", "b.value")
+    return _settled(rows.select("doc_id", "value").mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_id binary, n int, sig binary"))
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """The smallest doc_id of each set; what else a set has is the same in all its rows."""
+    return signed.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs of nodes a and b (structs of doc_id and key) that share a band and whose sizes allow the similarity, a with the smaller doc_id.
+
+    A bucket is cut in blocks and each pair of blocks is a key of the join, so a large one spreads. Buckets of one row end before the join.
+    """
+    width = 4 * HASHES // BANDS
+    node = F.struct("doc_id", F.xxhash64("set_id").alias("key")).alias("node")
+    banded = classes.filter(F.col("doc_id").isNotNull()).select(node, "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("sig"), k * width + 1, F.lit(width)))).alias("band", "value"))
     bucket = W.partitionBy("band", "value")
-    placed = banded.withColumns({"block": F.floor((F.row_number().over(bucket.orderBy("doc_id")) - 1) / BLOCK), "last": F.floor((F.count(F.lit(1)).over(bucket) - 1) / BLOCK)})
-    left = placed.select("band", "value", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("doc_id").alias("a"), F.col("n").alias("p"))
-    right = placed.select("band", "value", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("n").alias("q"))
+    placed = banded.withColumns({"block": F.floor((F.row_number().over(bucket.orderBy("node")) - 1) / BLOCK), "size": F.count(F.lit(1)).over(bucket)}).filter("size > 1").withColumn("last", F.floor((F.col("size") - 1) / BLOCK))
+    left = placed.select("band", "value", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("node").alias("a"), F.col("n").alias("p"))
+    right = placed.select("band", "value", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("n").alias("q"))
     alike = 100 * F.least("p", "q") >= PERCENT * F.greatest("p", "q")
-    pairs = left.join(right, ["band", "value", "i", "j"]).filter(F.expr("a < b") & alike).select("a", "b").distinct()
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    sized = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    return left.join(right, ["band", "value", "i", "j"]).filter(F.expr("a.doc_id < b.doc_id") & alike).select("a", "b").distinct()
+
+
+def _tiles(pairs: DataFrame) -> DataFrame:
+    """Adds i and j, the blocks of a and b: nodes with the same smallest partner stand together, CUT of them at most, so that a set is sent to few tiles and a large group spreads."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.min("e.to").alias("label"))
+    several = max(1, -(-nodes.count() // NODES))
+    of = W.partitionBy("label")
+    blocks = nodes.select("node", F.when(F.count(F.lit(1)).over(of) > CUT, F.xxhash64("label", F.floor((F.row_number().over(of.orderBy("node")) - 1) / CUT))).otherwise(F.pmod(F.xxhash64("label"), F.lit(several))).alias("block"))
+    one, two = (blocks.select(F.col("node").alias(n), F.col("block").alias(k)) for n, k in (("a", "i"), ("b", "j")))
+    return pairs.join(one, "a").join(two, "b").select("i", "j", "a", "b")
+
+
+def _shared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """a, b, shared, both of each pair of a tile: shingles in common, and those of a and b added up."""
+    at = {(x["doc_id"], x["key"]): k for k, x in enumerate(sets.column("node").to_pylist())}
+    each = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("shingles")]
+    sizes = np.array([len(x) for x in each])
+    names, codes = np.unique(np.concatenate(each), return_inverse=True)
+    each = np.split(codes, np.cumsum(sizes)[:-1])
+    a, b = (np.array([at[x["doc_id"], x["key"]] for x in pairs.column(n).to_pylist()]) for n in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    shared, mark = np.zeros(len(a), np.int64), np.zeros(len(names), bool)
+    for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        mark[each[a[part[0]]]] = True
+        for some in np.array_split(part, len(part) // NODES + 1):
+            starts = np.cumsum(sizes[b[some]]) - sizes[b[some]]
+            shared[some] = np.add.reduceat(mark[np.concatenate([each[k] for k in b[some]])], starts, dtype=np.int64)
+        mark[each[a[part[0]]]] = False
+    ids = [pc.struct_field(pairs.column(n), "doc_id") for n in ("a", "b")]
+    return pa.table([*ids, shared, sizes[a] + sizes[b]], ["a", "b", "shared", "both"])
+
+
+def _links(rows: DataFrame, read: Reader, signed: DataFrame) -> DataFrame:
+    """a, b, jaccard of the linked classes. Candidates are found by signatures; only the rows of candidates are read for their shingles again, and a set goes once to each tile that has pairs of it."""
+    pairs = _settled(_candidates(_classes(signed)))
+    tiles = _settled(_tiles(pairs))
+    ends = tiles.select("i", "j", F.explode(F.array("a.doc_id", "b.doc_id")).alias("doc_id"))
+    wanted = ends.groupBy("doc_id").agg(F.collect_set(F.struct("i", "j")).alias("tiles"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(read(batch.column("value")))
+            yield pa.record_batch([batch.column("doc_id"), pa.array([_set_id(x) for x in sets], pa.binary()), batch.column("tiles"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set_id", "tiles", "shingles"])
+
+    packed = rows.select("doc_id", "value").join(wanted, "doc_id").mapInArrow(pack, f"doc_id {kind}, set_id binary, tiles array<struct<i: bigint, j: bigint>>, shingles binary")
+    sets = packed.select(F.explode("tiles").alias("t"), F.struct("doc_id", F.xxhash64("set_id").alias("key")).alias("node"), "shingles").select("t.i", "t.j", "node", "shingles")
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        return _shared(one, two) if len(one) else pa.table([one.column("i").cast(two.column("node").type[0].type), *[pa.array([], pa.int64())] * 3], ["a", "b", "shared", "both"])
+
+    sized = tiles.groupBy("i", "j").cogroup(sets.groupBy("i", "j")).applyInArrow(meet, f"a {kind}, b {kind}, shared long, both long")
     return sized.filter(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared"))).select("a", "b", F.round(F.col("shared") / (F.col("both") - F.col("shared")), 6).alias("jaccard"))
 
 
+def minhash_links(sets: DataFrame) -> DataFrame:
+    """Pairs a < b of classes with a Jaccard similarity of at least PERCENT, found by banded MinHash; sets: doc_id, shingles as strings."""
+    rows = sets.select("doc_id", F.col("shingles").alias("value"))
+    return _links(rows, _given_sets, _signed(rows, _given_sets))
+
+
+def _lowered(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("value"))
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """minhash_links of documents' shingles, of which only candidates' are moved."""
+    rows = _lowered(docs)
+    return _links(rows, _text_sets, _signed(rows, _text_sets))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id with the same shingles), duplicate_of (the smallest linked class that is smaller, else null) of every document."""
-    grams = T.ngrams(T.words(F.coalesce(F.col("text"), F.lit(""))), SHINGLE)
-    keyed = docs.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s")).select("doc_id", F.when(F.size("s") > 0, F.md5(F.array_join("s", "\n"))).otherwise(F.concat(F.lit("none:"), F.col("doc_id").cast("string"))).alias("set_id"))
-    sets = shingle_sets(docs)
-    first = minhash_links(sets.select("doc_id", "shingles")).groupBy("b").agg(F.min("a").alias("duplicate_of"))
-    classes = sets.select("set_id", F.col("doc_id").alias("class_id"))
+    rows = _lowered(docs)
+    signed = _signed(rows, _text_sets)
+    first = _links(rows, _text_sets, signed).groupBy("b").agg(F.min("a").alias("duplicate_of"))
+    keyed = signed.select("doc_id", F.coalesce("set_id", F.concat(F.lit("none:"), F.col("doc_id").cast("string")).cast("binary")).alias("set_id"))
+    classes = _classes(signed).select("set_id", F.col("doc_id").alias("class_id"))
     return keyed.join(classes, "set_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).join(first, F.col("class_id") == F.col("b"), "left").select("doc_id", "class_id", "duplicate_of")
 
 

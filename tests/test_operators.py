@@ -262,6 +262,40 @@ def test_minhash_links_all_pairs_of_a_bucket(spark, monkeypatch, block):
     assert {r["doc_id"]: r["duplicate_of"] for r in curate.near_duplicates(docs).collect()} == {i: least.get(i) for i, _ in texts}
 
 
+def near_copies(n, seed):
+    """Texts of 1,000 words: a group of copies of one with some words changed, and others without copies; some without a shingle, one twice."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(9999)}" for _ in range(1000)]
+    texts = [" ".join(f"v{rng.randrange(9999)}" if rng.random() < 0.01 else w for w in base) for _ in range(n // 4)]
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(n - n // 4)]
+    return list(enumerate([*texts, "", "four words are few", None, texts[0], texts[1].upper() + " !"]))
+
+
+def moved(spark):
+    """Bytes that shuffles have written so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+
+@pytest.mark.parametrize(("nodes", "cut"), [(7, 3), (1024, 256)])
+def test_near_duplicates_move_no_shingles(spark, monkeypatch, nodes, cut):
+    monkeypatch.setattr(curate, "NODES", nodes)
+    monkeypatch.setattr(curate, "CUT", cut)
+    texts = near_copies(120, 1)
+    docs, before = spark.createDataFrame(texts, "doc_id long, text string"), moved(spark)
+    got = {r["doc_id"]: (r["class_id"], r["duplicate_of"]) for r in curate.near_duplicates(docs).collect()}
+    if nodes > len(texts):  # else sets go to many tiles
+        assert moved(spark) - before < sum(len(t or "") for _, t in texts)
+    least = {}
+    for a, b, _ in brute_minhash([(i, t or "") for i, t in texts]):
+        least[b] = min(least.get(b, a), a)
+    first = {}
+    for i, t in reversed(texts):
+        first[" ".join(re.findall("[a-z0-9]+", (t or "").lower()))] = i
+    same = {i: first[" ".join(w)] if len(w := re.findall("[a-z0-9]+", (t or "").lower())) >= curate.SHINGLE else i for i, t in texts}
+    assert len(least) > 20
+    assert got == {i: (same[i], least.get(same[i])) for i, _ in texts}
+
+
 @pytest.mark.parametrize("block", [60, 2048])
 def test_near_vectors_are_all_pairs(spark, sf, block, monkeypatch):
     """Every two vectors, by a plain statement and by the registered SQL."""
