@@ -77,7 +77,7 @@ links AS (SELECT a, b, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM o
 @query("minhash_pairs", _MINHASH + " SELECT a, b, jaccard FROM links")
 def minhash_pairs(spark, sf):
     """Linked class representatives (see dedup_near for the members of classes)."""
-    return curate.minhash_links(curate.shingle_sets(table(spark, sf, "documents")).select("doc_id", "shingles"))
+    return curate.near_links(table(spark, sf, "documents"))
 
 
 @query("dedup_near", _MINHASH + ", d AS (SELECT b, min(a) AS duplicate_of FROM links GROUP BY b) SELECT w.doc_id, coalesce(reps.doc_id, w.doc_id) AS class_id, duplicate_of FROM w LEFT JOIN ids USING (doc_id) LEFT JOIN reps USING (set_id) LEFT JOIN d ON d.b = coalesce(reps.doc_id, w.doc_id)")

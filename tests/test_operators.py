@@ -296,6 +296,14 @@ def test_near_duplicates_move_no_shingles(spark, monkeypatch, nodes, cut):
     assert got == {i: (same[i], least.get(same[i])) for i, _ in texts}
 
 
+def test_minhash_pairs_move_no_shingles(spark, tmp_path):
+    texts = near_copies(120, 2)
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = moved(spark)
+    assert set(rows(catalog.QUERIES["minhash_pairs"](spark, str(tmp_path)))) == brute_minhash([(i, t or "") for i, t in texts])
+    assert moved(spark) - before < sum(len(t or "") for _, t in texts)
+
+
 @pytest.mark.parametrize("block", [60, 2048])
 def test_near_vectors_are_all_pairs(spark, sf, block, monkeypatch):
     """Every two vectors, by a plain statement and by the registered SQL."""
